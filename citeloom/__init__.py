@@ -1 +1,8 @@
 """citeloom: bulk citation resolution, concept retrieval and corpus operators on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors travel by value, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
