@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import simhash
+from citeloom.llm import quality, secrets, simhash, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_simhash_pivots": simhash.op5}
+    return {
+        "op2_secret_links": secrets.op2,
+        "op5_simhash_pivots": simhash.op5,
+        "op6_url_vocabulary": urls.op6,
+        "op9_decision_list": quality.op9,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
