@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import packing, quality, secrets, simhash, urls
+from citeloom.llm import mixing, packing, quality, secrets, simhash, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secret_links": secrets.op2,
+        "op4_fair_queueing": mixing.op4,
         "op5_simhash_pivots": simhash.op5,
         "op6_url_vocabulary": urls.op6,
         "op9_decision_list": quality.op9,
