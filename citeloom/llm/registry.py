@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import mixing, packing, quality, secrets, simhash, topk, urls
+from citeloom.llm import mixing, packing, pages_html, quality, secrets, simhash, topk, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash_pivots": simhash.op5,
         "op6_url_vocabulary": urls.op6,
         "op7_pivot_topk": topk.op7,
+        "op8_wrapper_induction": pages_html.op8,
         "op9_decision_list": quality.op9,
         "op10_differencing_packs": packing.op10,
     }
