@@ -189,3 +189,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     d = dedup(docs)
     return d.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with cut texts and n_chars, if there, to match; documents whose every line went are dropped.
+
+    A document that had no removable line at all stays as it is.
+    """
+    d = dedup(docs).where(~((F.col("_removed") > 0) & (F.translate("text", PUNCTUATION + "\n ", "") == "")))
+    if "n_chars" in docs.columns:
+        d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return d.select(docs.columns)

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import lines, mixing, packing, pages_html, quality, secrets, simhash, topk, urls
+from citeloom.llm import lines, mixing, packing, pages_html, quality, secrets, simhash, substrings, topk, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": lines.op1,
         "op2_secret_links": secrets.op2,
+        "op3_previous_factors": substrings.op3,
         "op4_fair_queueing": mixing.op4,
         "op5_simhash_pivots": simhash.op5,
         "op6_url_vocabulary": urls.op6,
