@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "route_exact_title"
-_MODULES: list = []
+from citeloom.plans import index_queries
+
+_MODULES: list = [index_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
