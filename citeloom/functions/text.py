@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 MAX_QUERY = 4096
 PARTICLES = ("the", "of", "and", "a", "an", "de", "del", "la", "los", "y")
@@ -80,7 +81,7 @@ def fold_string(text: str) -> tuple[str, list[int]]:
     return "".join(pieces), [i for i, p in enumerate(pieces) for _ in p]
 
 
-@F.pandas_udf("text string, origin array<int>")
+@F.pandas_udf(StructType().add("text", "string").add("origin", ArrayType(IntegerType())))
 def fold_any(text: pd.Series) -> pd.DataFrame:
     """Full folding of any script, with the map back to the original places."""
     made = [fold_string(t) if t is not None else (None, None) for t in text]
