@@ -1,12 +1,13 @@
 """Fuzzy line dedup in DataFrame operations only: SimHash, pigeonhole blocks, edit similarity, components.
 
 A line is normalised (lower case, punctuation to spaces, runs of space to one); lines with equal norms are one
-node. A node's 64-bit SimHash counts the hashes of its words, in lanes packed into longs. Two nodes are linked if their
+node. A node's 63-bit SimHash counts the bits of the hashes of its words. Two nodes are linked if their
 fingerprints differ in at most three bits and their norms' edit similarity (1 - distance / longer length) is
-0.8 or more. Candidates share two of five bit blocks. In a bucket every node is compared with the bucket's
-least node first; nodes that link to it are connected and need no comparison among themselves, and only
-those that do not are compared with the whole bucket, so a bucket of thousands of variants costs one comparison each,
-and still no link between components is lost. Of each connected group one line stays: the first by
+0.8 or more. Candidates share two of five bit blocks
+and have lengths that the similarity allows. In a bucket every node is compared with the bucket's first node; the
+components of these links are found, and then only nodes outside the first node's component are compared with the others, and
+only across components. So a bucket of thousands of variants costs about one comparison each, and components come out exactly
+as if all pairs had been compared. Of each connected group one line stays: the first by
 (doc_id, nulls last; hash of the text; position). Lines without a letter or digit always stay.
 
 What is broadcast is a bitmap of at most 2^27 bits, which only thins what a join then decides.
@@ -29,51 +30,44 @@ from citeloom.llm.quality import let
 RADIUS = 3
 SIMILARITY = 0.8
 PUNCTUATION = "\t\x0b\x0c\r.,;:!?\"'()[]{}|*#$%&<>-_/\\=+~^`@"
-BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+#: (shift, width) of the blocks of the 63 bits.
+BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 12), (51, 12)]
+LANE = 21
 MAX_BITS = 27
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(doc_id, _k1, _k2, pos, id, norm) of every line with a letter or digit, stored."""
+    rows = docs.select("doc_id", *row_key(), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    flat = F.translate(F.lower("line"), PUNCTUATION, " " * len(PUNCTUATION))
+    norm = F.array_join(F.filter(F.split(flat, " "), lambda w: w != ""), " ")
+    rows = rows.select("doc_id", "_k1", "_k2", "pos", norm.alias("norm")).where("norm <> ''")
+    return stored(rows.select("doc_id", "_k1", "_k2", "pos", F.xxhash64("norm").alias("id"), "norm"), "lines")
 
 
-def _lanes(hashes: Column, width: int) -> Column:
-    """The majority bits of hashes, counted in lanes of width bits; right for fewer than 2^(width-2) hashes.
+def fingerprints(lines: DataFrame) -> DataFrame:
+    """(id, fp, size) of each distinct line. A bit is set if it is set in more than half of the words' hashes; size: code points.
 
-    Each count is lifted so that the lane's last bit but one shows a majority, and no sum reaches the sign bit.
+    Hashes are rows and their bits are summed in three lanes of 21 bits to a long, which stays in generated code;
+    a row's hashes are in one task, so what is shuffled is one row a line. The last lane bit but one of a lifted count shows
+    a majority. A line of 2^20 characters or more might not fit its lanes: its id is its fingerprint, and it meets only its equals.
     """
-    ones = sum(1 << (width * i) for i in range(64 // width))
-    top = ones << (width - 2)
-    lift = (F.lit((1 << (width - 2)) - 1).cast("long") - F.floor(F.size(hashes) / 2)) * F.lit(ones)
-    out = None
-
-    def counted(j: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ones)))
-
-    for j in range(width):
-        count = counted(j)
-        bits = F.shiftleft(F.shiftrightunsigned((count + lift).bitwiseAND(F.lit(top)), width - 2), j)
-        out = bits if out is None else out.bitwiseOR(bits)
-    return out
-
-
-def simhash(words: Column) -> Column:
-    """64 bits, each set if it is set in more than half of the words' hashes."""
-    return let(
-        F.transform(words, lambda w: F.xxhash64(w)),
-        lambda h: F.when(F.size(h) < 64, _lanes(h, 8)).when(F.size(h) < 16384, _lanes(h, 16)).otherwise(_lanes(h, 32)),
-    )
-
-
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, _k1, _k2, pos, id, fp, norm) of every line with a letter or digit, stored."""
-    rows = docs.select("doc_id", *row_key(), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    flat = F.translate(F.lower("line"), PUNCTUATION, " " * len(PUNCTUATION))
-    words = F.filter(F.split(flat, " "), lambda w: w != "")
-    both = let(words, lambda w: F.struct(F.array_join(w, " ").alias("norm"), simhash(w).alias("fp")))
-    rows = rows.select("doc_id", "_k1", "_k2", "pos", both.alias("b"))
-    rows = rows.select("doc_id", "_k1", "_k2", "pos", F.xxhash64("b.norm").alias("id"), "b.fp", "b.norm")
-    return stored(rows.where("norm <> ''"), "lines")
+    ones = sum(1 << (LANE * i) for i in range(3))
+    lines = lines.select("id", "norm", F.length("norm").alias("size"))
+    rows = lines.where(F.col("size") < (1 << (LANE - 1))).withColumn("row", F.monotonically_increasing_id())
+    words = rows.select("id", "size", "row", F.explode(F.split("norm", " ")).alias("w"))
+    bits = words.select("id", "size", "row", F.xxhash64("w").alias("h"))
+    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(ones))).alias(f"s{j}") for j in range(LANE)]
+    per_line = bits.groupBy("row").agg(F.max("id").alias("id"), F.count("*").alias("n"), F.max("size").alias("size"), *sums)
+    top = (1 << (LANE - 1)) - 1
+    lift = (F.lit(top).cast("long") - F.floor(F.col("n") / 2)) * F.lit(ones)
+    fp = F.lit(0).cast("long")
+    for j in range(LANE):
+        flags = F.shiftrightunsigned((F.col(f"s{j}") + lift).bitwiseAND(F.lit(ones << (LANE - 1))), LANE - 1)
+        fp = fp.bitwiseOR(F.shiftleft(flags, j))
+    small = per_line.select("id", fp.alias("fp"), "size")
+    large = lines.where(F.col("size") >= (1 << (LANE - 1))).select("id", F.col("id").bitwiseAND(F.lit((1 << 63) - 1)).alias("fp"), "size")
+    return stored(small.union(large).groupBy("id").agg(F.min("fp").alias("fp"), F.min("size").alias("size")), "line-fps")
 
 
 def _bitmap(ids: DataFrame) -> tuple[DataFrame, int]:
@@ -101,20 +95,27 @@ def _apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Nodes under each of their keys that others share, with the bucket's size and least node."""
+def buckets(nodes: DataFrame) -> DataFrame:
+    """Nodes under each of their keys that others share, with the bucket's size n and its first node in an order of its own.
+
+    The order differs from key to key, so that a dense group meets several first nodes.
+    """
     keys = []
     for i, chosen in enumerate(combinations(BLOCKS, 2)):
-        mask = _signed(sum(((1 << w) - 1) << s for s, w in chosen))
+        mask = sum(((1 << w) - 1) << s for s, w in chosen)
         keys.append(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(mask))))
-    keyed = nodes.select("id", "fp", F.explode(F.array(*keys)).alias("key"))
-    w = Window.partitionBy("key")
-    first = w.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    n = F.count("*").over(w)
-    keyed = keyed.select(
-        "key", "id", "fp", n.alias("n"), F.first("id").over(first).alias("rep"), F.first("fp").over(first).alias("rep_fp")
-    )
-    return stored(keyed.where("n > 1"), "buckets")
+    keyed = nodes.select("id", "fp", "size", F.explode(F.array(*keys)).alias("key"))
+    w = Window.partitionBy("key").orderBy(F.xxhash64("key", "id"), "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.first(F.struct("id", "fp", "size")).over(w)
+    keyed = keyed.select("key", "id", "fp", "size", F.count("*").over(Window.partitionBy("key")).alias("n"), first.alias("rep"))
+    keyed = keyed.where("n > 1 and id <> rep.id").withColumn("near", _near("fp", "rep.fp", "size", "rep.size"))
+    return stored(keyed.where("n > 2 or near").select("key", "id", "fp", "size", "n", F.col("rep.id").alias("rep"), "near"), "buckets")
+
+
+def _near(fa: str, fb: str, sa: str, sb: str, radius: int = RADIUS, similarity: float = SIMILARITY) -> Column:
+    """Close fingerprints, and lengths that the edit similarity allows."""
+    longest = F.greatest(F.col(sa), F.col(sb))
+    return (_apart(fa, fb) <= radius) & (F.abs(F.col(sa) - F.col(sb)) <= F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
@@ -127,29 +128,32 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
     both = pairs.join(left, "a").join(right, "b")
     longest = F.greatest(F.length("na"), F.length("nb"))
     both = both.withColumn("_most", F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)).cast("int"))
-    near = (F.abs(F.length("na") - F.length("nb")) <= F.col("_most")) & (F.expr("levenshtein(na, nb, _most)") >= 0)
+    # most that are near are very near: a narrow band decides them
+    band = F.expr("levenshtein(na, nb, least(_most, 4 + cast(_most / 16 as int)))") >= 0
+    near = (F.abs(F.length("na") - F.length("nb")) <= F.col("_most")) & (band | (F.expr("levenshtein(na, nb, _most)") >= 0))
     return stored(both.where(near).select("a", "b"), "links")
 
 
-def links(lines: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b) that connect just the nodes that links connect."""
-    nodes = lines.select("id", "fp").groupBy("id").agg(F.min("fp").alias("fp"))
-    buckets = candidates(nodes)
-    star = buckets.where((F.col("id") != F.col("rep")) & (_apart("fp", "rep_fp") <= radius))
-    first = _verified(star.select(F.col("rep").alias("a"), F.col("id").alias("b")), lines, similarity)
-    # those that do not link to their bucket's least node meet the whole bucket but that node
-    others = buckets.where((F.col("n") > 2) & (F.col("id") != F.col("rep")))
-    linked = first.select(F.col("a").alias("rep"), F.col("b").alias("id"), F.lit(True).alias("linked"))
-    rest = others.join(linked, ["rep", "id"], "left_anti").select("key", F.col("id").alias("a"), F.col("fp").alias("fa"))
-    pairs = rest.join(others.select("key", F.col("id").alias("b"), F.col("fp").alias("fb")), "key")
-    pairs = pairs.where((F.col("a") != F.col("b")) & (_apart("fa", "fb") <= radius))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    b = buckets(fingerprints(lines))
+    star = b.where("near").select(F.least("rep", "id").alias("a"), F.greatest("rep", "id").alias("b"))
+    first = _verified(star, lines, similarity)
+    # what is connected by now needs no more links: only nodes outside their bucket's first component meet the rest of it
+    comp = stored(components(first), "parts")
+    more = b.where("n > 2").join(comp, F.col("id") == F.col("node"), "left").drop("node")
+    more = more.select("key", "id", "fp", "size", "rep", F.coalesce("root", "id").alias("root"))
+    more = more.join(comp.select(F.col("node").alias("rep"), F.col("root").alias("r2")), "rep", "left")
+    more = more.select("key", "id", "fp", "size", "root", (F.coalesce("r2", "rep") == F.col("root")).alias("with_rep"))
+    x = more.where("not with_rep").select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "fp", "size", "root")])
+    pairs = x.join(more, "key").where((F.col("root1") != F.col("root")) & _near("fp1", "fp", "size1", "size"))
+    pairs = pairs.select(F.least("id1", "id").alias("a"), F.greatest("id1", "id").alias("b"))
     return first.union(_verified(pairs, lines, similarity))
 
 
-def removed_lines(lines: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def removed_lines(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(_k1, _k2, gone): positions of each document's lines that are not their group's first occurrence."""
-    comp = components(links(lines, similarity, radius))
+    comp = components(links(lines, similarity))
     occ = lines.select("doc_id", "_k1", "_k2", "pos", "id").join(comp, F.col("id") == F.col("node"), "left")
     occ = occ.select(
         F.coalesce("root", "id").alias("g"), F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k1", "_k2", "pos").alias("at")
@@ -159,10 +163,10 @@ def removed_lines(lines: DataFrame, similarity: float = SIMILARITY, radius: int
     return gone.groupBy("_k1", "_k2").agg(F.collect_set("pos").alias("gone"))
 
 
-def dedup(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with its columns, text cut down to the lines that stay, and _lines and _removed, their counts."""
     lines = occurrences(docs)
-    gone = stored(removed_lines(lines, similarity, radius), "gone")
+    gone = stored(removed_lines(lines, similarity), "gone")
     cols = docs.columns
     keyed, test = maybe_in(docs.select("*", *row_key()), "_k1", gone.select(F.col("_k1").alias("id")))
     text = F.coalesce("text", F.lit(""))
