@@ -206,11 +206,11 @@ def keep_one(docs: DataFrame, k: int = 3, radius: int = RADIUS) -> DataFrame:
     near = near_duplicates(keyed, k, radius)
     order = F.struct(F.col("doc_id").isNull().alias("_n"), "doc_id", "_k1", "_k2")
     best = near.groupBy("root").agg(F.min(order).alias("b"), F.count("*").alias("n"))
-    same = near.groupBy("_k1", "_k2").agg(F.count("*").alias("n"))
+    same = near.groupBy("_k1", "_k2").agg(F.count("*").alias("_same"))
     best = best.select("b._k1", "b._k2").join(same, ["_k1", "_k2"])
     kept = docs.select("*", *row_key()).join(best, ["_k1", "_k2"])
-    once = kept.where("n = 1").select(docs.columns)
-    return once.union(kept.where("n > 1").dropDuplicates(["_k1", "_k2"]).select(docs.columns))
+    once = kept.where("_same = 1").select(docs.columns)
+    return once.union(kept.where("_same > 1").dropDuplicates(["_k1", "_k2"]).select(docs.columns))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
