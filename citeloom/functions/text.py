@@ -81,11 +81,14 @@ def fold_string(text: str) -> tuple[str, list[int]]:
     return "".join(pieces), [i for i, p in enumerate(pieces) for _ in p]
 
 
-@F.pandas_udf(StructType().add("text", "string").add("origin", ArrayType(IntegerType())))
-def fold_any(text: pd.Series) -> pd.DataFrame:
-    """Full folding of any script, with the map back to the original places."""
-    made = [fold_string(t) if t is not None else (None, None) for t in text]
-    return pd.DataFrame({"text": [m[0] for m in made], "origin": [m[1] for m in made]})
+def fold_any(text: Column) -> Column:
+    """struct(text, origin): full folding of any script, with the map back to the original places."""
+
+    def run(text: pd.Series) -> pd.DataFrame:
+        made = [fold_string(t) if t is not None else (None, None) for t in text]
+        return pd.DataFrame({"text": [m[0] for m in made], "origin": [m[1] for m in made]})
+
+    return F.pandas_udf(run, StructType().add("text", "string").add("origin", ArrayType(IntegerType())))(text)
 
 
 def tokens(folded: Column) -> Column:
