@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "route_exact_title"
-from citeloom.plans import discovery_queries, evaluation_queries, index_queries
+from citeloom.plans import discovery_queries, evaluation_queries, index_queries, routing_queries
 
-_MODULES: list = [index_queries, discovery_queries, evaluation_queries]
+_MODULES: list = [index_queries, routing_queries, discovery_queries, evaluation_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
