@@ -26,6 +26,7 @@ STRICT = (
 SOFT = (
     "adult", "bet", "betting", "bonus", "cheap", "crack", "dating", "drugs", "free", "gambling", "hot", "jackpot", "loan",
     "loans", "lottery", "nude", "pharmacy", "poker", "replica", "slots", "spam", "win", "ads", "track", "tracker", "click",
+    "bets", "farm", "farms", "x",
 )
 RULES = (
     ("org/", "allow"),

@@ -264,8 +264,8 @@ def test_urls():
 
 
 def test_urls_frame(spark):
-    p = spark.createDataFrame([(1, "http://cheap-bonus.net/", "x"), (2, "http://cheap.net/", "x"), (3, None, "x"), (3, "", "x")], "page_id long, url string, host string")
-    assert sorted((r["page_id"], r["verdict"]) for r in urls.judge(p).collect()) == [(1, "block"), (2, "allow"), (3, "allow"), (3, "allow")]
+    p = spark.createDataFrame([(1, "http://cheap-bonus.net/", "x"), (2, "http://cheap.net/", "x"), (4, "http://www.free-bets.example.net/en/1", "x"), (5, "http://spam-farm.example.net/", "x"), (3, None, "x"), (3, "", "x")], "page_id long, url string, host string")
+    assert sorted((r["page_id"], r["verdict"]) for r in urls.judge(p).collect()) == [(1, "block"), (2, "allow"), (3, "allow"), (3, "allow"), (4, "block"), (5, "block")]
 
 
 def test_topk_against_all_pairs(spark):
