@@ -18,6 +18,7 @@ text count as one document and get the same result; a table without rows gives n
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,15 +33,15 @@ SIMILARITY = 0.8
 PUNCTUATION = "\t\x0b\x0c\r.,;:!?\"'()[]{}|*#$%&<>-_/\\=+~^`@"
 #: (shift, width) of the blocks of the 63 bits.
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 12), (51, 12)]
-LANE = 21
+LANE, SHORT_LANE = 21, 7
 MAX_BITS = 27
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, _k1, _k2, pos, id, norm) of every line with a letter or digit, stored."""
-    rows = docs.select("doc_id", *row_key(), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    flat = F.translate(F.lower("line"), PUNCTUATION, " " * len(PUNCTUATION))
-    norm = F.array_join(F.filter(F.split(flat, " "), lambda w: w != ""), " ")
+    flat = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), f"[ {re.escape(PUNCTUATION)}]+", " ")
+    rows = docs.select("doc_id", *row_key(), F.posexplode(F.split(flat, "\n")).alias("pos", "line"))
+    norm = F.trim("line")
     rows = rows.select("doc_id", "_k1", "_k2", "pos", norm.alias("norm")).where("norm <> ''")
     return stored(rows.select("doc_id", "_k1", "_k2", "pos", F.xxhash64("norm").alias("id"), "norm"), "lines")
 
@@ -48,26 +49,31 @@ def occurrences(docs: DataFrame) -> DataFrame:
 def fingerprints(lines: DataFrame) -> DataFrame:
     """(id, fp, size) of each distinct line. A bit is set if it is set in more than half of the words' hashes; size: code points.
 
-    Hashes are rows and their bits are summed in three lanes of 21 bits to a long, which stays in generated code;
-    a row's hashes are in one task, so what is shuffled is one row a line. The last lane bit but one of a lifted count shows
-    a majority. A line of 2^20 characters or more might not fit its lanes: its id is its fingerprint, and it meets only its equals.
+    Hashes are rows and their bits are summed in lanes of a long, which stays in generated code; a row's hashes are in one task, so
+    what is shuffled is one row a line: of seven sums up to 63 words, of 21 beyond. A line of 2^20 characters or more
+    might not fit its lanes: its id is its fingerprint, and it meets only its equals.
     """
-    ones = sum(1 << (LANE * i) for i in range(3))
     lines = lines.select("id", "norm", F.length("norm").alias("size"))
-    rows = lines.where(F.col("size") < (1 << (LANE - 1))).withColumn("row", F.monotonically_increasing_id())
-    words = rows.select("id", "size", "row", F.explode(F.split("norm", " ")).alias("w"))
-    bits = words.select("id", "size", "row", F.xxhash64("w").alias("h"))
-    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(ones))).alias(f"s{j}") for j in range(LANE)]
-    per_line = bits.groupBy("row").agg(F.max("id").alias("id"), F.count("*").alias("n"), F.max("size").alias("size"), *sums)
-    top = (1 << (LANE - 1)) - 1
-    lift = (F.lit(top).cast("long") - F.floor(F.col("n") / 2)) * F.lit(ones)
+    rows = lines.where(F.col("size") < (1 << (LANE - 1))).select("id", "size", F.monotonically_increasing_id().alias("row"), F.split("norm", " ").alias("w"))
+    short = F.size("w") < (1 << (SHORT_LANE - 1))
+    made = _majority(rows.where(short), SHORT_LANE).union(_majority(rows.where(~short), LANE))
+    large = lines.where(F.col("size") >= (1 << (LANE - 1))).select("id", F.col("id").bitwiseAND(F.lit((1 << 63) - 1)).alias("fp"), "size")
+    return stored(made.union(large).groupBy("id").agg(F.min("fp").alias("fp"), F.min("size").alias("size")), "line-fps")
+
+
+def _majority(rows: DataFrame, lane: int) -> DataFrame:
+    """(id, fp, size) of rows (id, size, row, w) with fewer than 2^(lane - 1) words each."""
+    ones = sum(1 << (lane * i) for i in range(63 // lane))
+    bits = rows.select("id", "size", "row", F.explode("w").alias("w")).select("id", "size", "row", F.xxhash64("w").alias("h"))
+    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(ones))).alias(f"s{j}") for j in range(lane)]
+    per_line = bits.groupBy("row", "id", "size").agg(F.count("*").alias("n"), *sums)
+    top = 1 << (lane - 1)
+    lift = (F.lit(top - 1).cast("long") - F.floor(F.col("n") / 2)) * F.lit(ones)  # a lifted count has its top bit if it is a majority
     fp = F.lit(0).cast("long")
-    for j in range(LANE):
-        flags = F.shiftrightunsigned((F.col(f"s{j}") + lift).bitwiseAND(F.lit(ones << (LANE - 1))), LANE - 1)
+    for j in range(lane):
+        flags = F.shiftrightunsigned((F.col(f"s{j}") + lift).bitwiseAND(F.lit(ones * top)), lane - 1)
         fp = fp.bitwiseOR(F.shiftleft(flags, j))
-    small = per_line.select("id", fp.alias("fp"), "size")
-    large = lines.where(F.col("size") >= (1 << (LANE - 1))).select("id", F.col("id").bitwiseAND(F.lit((1 << 63) - 1)).alias("fp"), "size")
-    return stored(small.union(large).groupBy("id").agg(F.min("fp").alias("fp"), F.min("size").alias("size")), "line-fps")
+    return per_line.select("id", fp.alias("fp"), "size")
 
 
 def _bitmap(ids: DataFrame) -> tuple[DataFrame, int]:
@@ -118,8 +124,16 @@ def _near(fa: str, fb: str, sa: str, sb: str, radius: int = RADIUS, similarity:
     return (_apart(fa, fb) <= radius) & (F.abs(F.col(sa) - F.col(sb)) <= F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)))
 
 
+def _shared(a: str, b: str, at_end: bool) -> Column:
+    """How many characters two different strings begin (end) with in common: a binary search over substrings."""
+    a, b = F.col(a), F.col(b)
+    part = (lambda x, n: F.substring(x, -n, n)) if at_end else (lambda x, n: F.substring(x, F.lit(1), n))
+    steps = F.array(*[F.lit(1 << i) for i in range(LANE - 2, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(part(a, n + step) == part(b, n + step), n + step).otherwise(n))
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose norms are similar enough."""
+    """The pairs (a, b) with near: are their norms similar enough? Pairs whose lengths differ too much may be left out."""
     pairs = stored(pairs.distinct(), "pairs")
     ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     thin, test = maybe_in(lines.select("id", "norm"), "id", ids)
@@ -128,27 +142,36 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
     both = pairs.join(left, "a").join(right, "b")
     longest = F.greatest(F.length("na"), F.length("nb"))
     both = both.withColumn("_most", F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)).cast("int"))
-    # most that are near are very near: a narrow band decides them
-    band = F.expr("levenshtein(na, nb, least(_most, 4 + cast(_most / 16 as int)))") >= 0
-    near = (F.abs(F.length("na") - F.length("nb")) <= F.col("_most")) & (band | (F.expr("levenshtein(na, nb, _most)") >= 0))
-    return stored(both.where(near).select("a", "b"), "links")
+    both = both.where(F.abs(F.length("na") - F.length("nb")) <= F.col("_most"))
+    # what both begin and end with costs no edits, so only the middles are compared
+    both = both.withColumn("_p", _shared("na", "nb", False)).withColumns({x: F.substring(F.col(x), F.col("_p") + 1, F.length(x)) for x in ("na", "nb")})
+    both = both.withColumn("_s", _shared("na", "nb", True)).withColumns({x: F.substring(F.col(x), F.lit(1), F.length(x) - F.col("_s")) for x in ("na", "nb")})
+    near = F.expr("levenshtein(na, nb, _most)") >= 0
+    return stored(both.select("a", "b", near.alias("near")), "links")
 
 
 def links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b) that connect just the nodes that links connect."""
     b = buckets(fingerprints(lines))
-    star = b.where("near").select(F.least("rep", "id").alias("a"), F.greatest("rep", "id").alias("b"))
-    first = _verified(star, lines, similarity)
+    pair = [F.least("rep", "id").alias("a"), F.greatest("rep", "id").alias("b")]
+    tried = _verified(b.where("near").select(*pair), lines, similarity)
+    first = tried.where("near").select("a", "b")
+    # where all of a bucket is linked to its first node there is nothing more to find; bitmaps leave such buckets where they are
+    large = b.where("n > 2").withColumn("pair", F.xxhash64(*pair))
+    rows, failed = maybe_in(large, "pair", tried.where("not near").select(F.xxhash64("a", "b").alias("id")))
+    loose = stored(rows.where(~F.col("near") | failed).select(F.col("key").alias("id")).distinct(), "loose")
+    rows, test = maybe_in(large.select("key", "id", "fp", "size", "rep"), "key", loose)
+    more = rows.where(test).select("key", "id", "fp", "size", "rep")
     # what is connected by now needs no more links: only nodes outside their bucket's first component meet the rest of it
     comp = stored(components(first), "parts")
-    more = b.where("n > 2").join(comp, F.col("id") == F.col("node"), "left").drop("node")
+    more = more.join(comp, F.col("id") == F.col("node"), "left").drop("node")
     more = more.select("key", "id", "fp", "size", "rep", F.coalesce("root", "id").alias("root"))
     more = more.join(comp.select(F.col("node").alias("rep"), F.col("root").alias("r2")), "rep", "left")
     more = more.select("key", "id", "fp", "size", "root", (F.coalesce("r2", "rep") == F.col("root")).alias("with_rep"))
     x = more.where("not with_rep").select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "fp", "size", "root")])
     pairs = x.join(more, "key").where((F.col("root1") != F.col("root")) & _near("fp1", "fp", "size1", "size"))
     pairs = pairs.select(F.least("id1", "id").alias("a"), F.greatest("id1", "id").alias("b"))
-    return first.union(_verified(pairs, lines, similarity))
+    return first.union(_verified(pairs, lines, similarity).where("near").select("a", "b"))
 
 
 def removed_lines(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

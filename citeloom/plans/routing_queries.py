@@ -10,6 +10,7 @@ from citeloom.functions import dates
 from citeloom.functions import reading as R
 from citeloom.functions import text as T
 from citeloom.operators import extraction, routing
+from citeloom.operators.tables import stored
 from citeloom.plans.book import instruments, provisions, table, title_table, with_book
 
 
@@ -137,7 +138,7 @@ def route_full(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.translate("coordinate", "/", "_"), F.lit(" ss. 1, 2")),
     ]
     text = F.get(F.array(*forms), (F.col("okey") % len(forms)).cast("int"))
-    got = routing.route(b.select("okey", text.alias("text")), book_facts(spark, d))
+    got = routing.route(b.select("okey", text.alias("text")), stored(book_facts(spark, d), "facts"))
     return got.select("okey", "status", "reason", F.array_join("coordinates", ",").alias("coordinates"), F.array_join("excluded", ",").alias("excluded"))
 
 
