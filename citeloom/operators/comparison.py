@@ -308,3 +308,11 @@ def paired_order(pairs: DataFrame, seed: int) -> DataFrame:
 def revalidated(candidates: DataFrame, coordinates: DataFrame) -> DataFrame:
     """Candidates that the book still has."""
     return candidates.join(coordinates.select("coordinate").distinct(), "coordinate", "left_semi")
+
+
+def invented_title(query: Column) -> Column:
+    """struct(title, year) of the last title with a type word and a year in a query; null if there is none."""
+    pattern = F.lit(r"(?i)([^,;]*?\b(?:act|order|regulations|rules)\s+(\d{4}))\b")
+    found = [F.try_element_at(F.regexp_extract_all(query, pattern, F.lit(g)), F.lit(-1)) for g in (1, 2)]
+    has = F.size(F.regexp_extract_all(query, pattern, F.lit(1))) > 0
+    return F.when(has, F.struct(F.trim(found[0]).alias("title"), found[1].cast("int").alias("year")))
