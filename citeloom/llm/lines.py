@@ -1,10 +1,11 @@
 """Fuzzy line dedup in DataFrame operations only: SimHash, pigeonhole blocks, edit similarity, components.
 
 A line is normalised (lower case, punctuation to spaces, runs of space to one); lines with equal norms are one
-node. A node's 63-bit SimHash counts the bits of the hashes of its words. Two nodes are linked if their
-fingerprints differ in at most three bits and their norms' edit similarity (1 - distance / longer length) is
-0.8 or more. Candidates share two of five bit blocks
-and have lengths that the similarity allows. In a bucket every node is compared with the bucket's first node; the
+node. A node's 63-bit SimHash counts the bits of the hashes of its different words of five letters or more, or of
+all its different words where it has fewer than six such: with every word counted, a few common ones decide the fingerprint, and unrelated
+lines crowd the buckets. Two nodes are linked if their fingerprints differ in at most three bits and their norms' edit
+similarity (1 - distance / longer length) is 0.8 or more. Candidates share two of five bit blocks and have lengths that the similarity allows.
+In a bucket every node is compared with the bucket's first node; the
 components of these links are found, and then only nodes outside the first node's component are compared with the others, and
 only across components. So a bucket of thousands of variants costs about one comparison each, and components come out exactly
 as if all pairs had been compared. Of each connected group one line stays: the first by
@@ -34,6 +35,7 @@ PUNCTUATION = "\t\x0b\x0c\r.,;:!?\"'()[]{}|*#$%&<>-_/\\=+~^`@"
 #: (shift, width) of the blocks of the 63 bits.
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 12), (51, 12)]
 LANE, SHORT_LANE = 21, 7
+LONG, ENOUGH = 5, 6
 MAX_BITS = 27
 
 
@@ -46,15 +48,22 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return stored(rows.select("doc_id", "_k1", "_k2", "pos", F.xxhash64("norm").alias("id"), "norm"), "lines")
 
 
+def features(norm: str) -> Column:
+    """What a line's fingerprint is made of."""
+    long = lambda words: F.filter(words, lambda w: F.length(w) >= LONG)
+    words = F.array_distinct(F.split(norm, " "))
+    return let(words, lambda d: let(long(d), lambda x: F.when(F.size(x) >= ENOUGH, x).otherwise(d)))
+
+
 def fingerprints(lines: DataFrame) -> DataFrame:
-    """(id, fp, size) of each distinct line. A bit is set if it is set in more than half of the words' hashes; size: code points.
+    """(id, fp, size) of each distinct line. A bit is set if it is set in more than half of its features' hashes; size: code points.
 
     Hashes are rows and their bits are summed in lanes of a long, which stays in generated code; a row's hashes are in one task, so
     what is shuffled is one row a line: of seven sums up to 63 words, of 21 beyond. A line of 2^20 characters or more
     might not fit its lanes: its id is its fingerprint, and it meets only its equals.
     """
     lines = lines.select("id", "norm", F.length("norm").alias("size"))
-    rows = lines.where(F.col("size") < (1 << (LANE - 1))).select("id", "size", F.monotonically_increasing_id().alias("row"), F.split("norm", " ").alias("w"))
+    rows = lines.where(F.col("size") < (1 << (LANE - 1))).select("id", "size", F.monotonically_increasing_id().alias("row"), features("norm").alias("w"))
     short = F.size("w") < (1 << (SHORT_LANE - 1))
     made = _majority(rows.where(short), SHORT_LANE).union(_majority(rows.where(~short), LANE))
     large = lines.where(F.col("size") >= (1 << (LANE - 1))).select("id", F.col("id").bitwiseAND(F.lit((1 << 63) - 1)).alias("fp"), "size")
@@ -132,8 +141,8 @@ def _shared(a: str, b: str, at_end: bool) -> Column:
     return F.aggregate(steps, F.lit(0), lambda n, step: F.when(part(a, n + step) == part(b, n + step), n + step).otherwise(n))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) with near: are their norms similar enough? Pairs whose lengths differ too much may be left out."""
+def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) whose norms are similar enough, and the other pairs."""
     pairs = stored(pairs.distinct(), "pairs")
     ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     thin, test = maybe_in(lines.select("id", "norm"), "id", ids)
@@ -146,19 +155,21 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
     # what both begin and end with costs no edits, so only the middles are compared
     both = both.withColumn("_p", _shared("na", "nb", False)).withColumns({x: F.substring(F.col(x), F.col("_p") + 1, F.length(x)) for x in ("na", "nb")})
     both = both.withColumn("_s", _shared("na", "nb", True)).withColumns({x: F.substring(F.col(x), F.lit(1), F.length(x) - F.col("_s")) for x in ("na", "nb")})
-    near = F.expr("levenshtein(na, nb, _most)") >= 0
-    return stored(both.select("a", "b", near.alias("near")), "links")
+    # most that are near are very near: a narrow band decides them
+    band = F.expr("levenshtein(na, nb, least(_most, 4 + cast(_most / 16 as int)))") >= 0
+    near = band | (F.expr("levenshtein(na, nb, _most)") >= 0)
+    good = stored(both.where(near).select("a", "b"), "links")
+    return good, pairs.join(good, ["a", "b"], "left_anti")
 
 
 def links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b) that connect just the nodes that links connect."""
     b = buckets(fingerprints(lines))
     pair = [F.least("rep", "id").alias("a"), F.greatest("rep", "id").alias("b")]
-    tried = _verified(b.where("near").select(*pair), lines, similarity)
-    first = tried.where("near").select("a", "b")
+    first, apart = _verified(b.where("near").select(*pair), lines, similarity)
     # where all of a bucket is linked to its first node there is nothing more to find; bitmaps leave such buckets where they are
     large = b.where("n > 2").withColumn("pair", F.xxhash64(*pair))
-    rows, failed = maybe_in(large, "pair", tried.where("not near").select(F.xxhash64("a", "b").alias("id")))
+    rows, failed = maybe_in(large, "pair", apart.select(F.xxhash64("a", "b").alias("id")))
     loose = stored(rows.where(~F.col("near") | failed).select(F.col("key").alias("id")).distinct(), "loose")
     rows, test = maybe_in(large.select("key", "id", "fp", "size", "rep"), "key", loose)
     more = rows.where(test).select("key", "id", "fp", "size", "rep")
@@ -171,7 +182,7 @@ def links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     x = more.where("not with_rep").select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "fp", "size", "root")])
     pairs = x.join(more, "key").where((F.col("root1") != F.col("root")) & _near("fp1", "fp", "size1", "size"))
     pairs = pairs.select(F.least("id1", "id").alias("a"), F.greatest("id1", "id").alias("b"))
-    return first.union(_verified(pairs, lines, similarity).where("near").select("a", "b"))
+    return first.union(_verified(pairs, lines, similarity)[0])
 
 
 def removed_lines(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
