@@ -34,7 +34,7 @@ SIMILARITY = 0.8
 PUNCTUATION = "\t\x0b\x0c\r.,;:!?\"'()[]{}|*#$%&<>-_/\\=+~^`@"
 #: (shift, width) of the blocks of the 63 bits.
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 12), (51, 12)]
-LANE, SHORT_LANE = 21, 7
+LANE, SHORT_LANE, SHORT = 21, 9, 511
 LONG, ENOUGH = 5, 6
 MAX_BITS = 27
 
@@ -59,15 +59,15 @@ def fingerprints(lines: DataFrame) -> DataFrame:
     """(id, fp, size) of each distinct line. A bit is set if it is set in more than half of its features' hashes; size: code points.
 
     Hashes are rows and their bits are summed in lanes of a long, which stays in generated code; a row's hashes are in one task, so
-    what is shuffled is one row a line: of seven sums up to 63 words, of 21 beyond. A line of 2^20 characters or more
-    might not fit its lanes: its id is its fingerprint, and it meets only its equals.
+    what is shuffled is one row a line: of nine sums below 511 characters (fewer than 256 features), of 21 beyond. A line of
+    2^20 characters or more might not fit its lanes: its id is its fingerprint, and it meets only its equals.
     """
     lines = lines.select("id", "norm", F.length("norm").alias("size"))
-    rows = lines.where(F.col("size") < (1 << (LANE - 1))).select("id", "size", F.monotonically_increasing_id().alias("row"), features("norm").alias("w"))
-    short = F.size("w") < (1 << (SHORT_LANE - 1))
-    made = _majority(rows.where(short), SHORT_LANE).union(_majority(rows.where(~short), LANE))
-    large = lines.where(F.col("size") >= (1 << (LANE - 1))).select("id", F.col("id").bitwiseAND(F.lit((1 << 63) - 1)).alias("fp"), "size")
-    return stored(made.union(large).groupBy("id").agg(F.min("fp").alias("fp"), F.min("size").alias("size")), "line-fps")
+    most = 1 << (LANE - 1)
+    each = lambda some: lines.where(some).select("id", "size", F.monotonically_increasing_id().alias("row"), features("norm").alias("w"))
+    small = _majority(each(F.col("size") < SHORT), SHORT_LANE).union(_majority(each((F.col("size") >= SHORT) & (F.col("size") < most)), LANE))
+    large = lines.where(F.col("size") >= most).select("id", F.col("id").bitwiseAND(F.lit((1 << 63) - 1)).alias("fp"), "size")
+    return stored(small.union(large).groupBy("id").agg(F.min("fp").alias("fp"), F.min("size").alias("size")), "line-fps")
 
 
 def _majority(rows: DataFrame, lane: int) -> DataFrame:
@@ -133,14 +133,33 @@ def _near(fa: str, fb: str, sa: str, sb: str, radius: int = RADIUS, similarity:
     return (_apart(fa, fb) <= radius) & (F.abs(F.col(sa) - F.col(sb)) <= F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)))
 
 
-def _shared(a: str, b: str, at_end: bool) -> Column:
+def _shared(a: Column, b: Column, at_end: bool) -> Column:
     """How many characters two different strings begin (end) with in common: a binary search over substrings."""
-    a, b = F.col(a), F.col(b)
     part = (lambda x, n: F.substring(x, -n, n)) if at_end else (lambda x, n: F.substring(x, F.lit(1), n))
     steps = F.array(*[F.lit(1 << i) for i in range(LANE - 2, -1, -1)])
     return F.aggregate(steps, F.lit(0), lambda n, step: F.when(part(a, n + step) == part(b, n + step), n + step).otherwise(n))
 
 
+def _within(a: Column, b: Column, most: Column) -> Column:
+    """Is the edit distance of two different strings at most ``most``?
+
+    What both begin and end with costs no edits, so only the middles are compared; most that are near are very near, so a
+    narrow band comes first. The steps are bound by ``let``: as columns of their own the optimiser would write each into the next.
+    """
+    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+    after = lambda x, n: F.substring(x, n + 1, F.length(x))
+    until = lambda x, n: F.substring(x, F.lit(1), F.length(x) - n)
+    at_most = lambda x, k: F.call_function("levenshtein", x["a"], x["b"], k) >= 0
+
+    def decide(x: Column) -> Column:
+        return at_most(x, F.least(most, (most / 16).cast("int") + 4)) | at_most(x, most)
+
+    def tail(x: Column) -> Column:
+        return let(_shared(x["a"], x["b"], True), lambda n: let(pair(until(x["a"], n), until(x["b"], n)), decide))
+
+    return let(_shared(a, b, False), lambda n: let(pair(after(a, n), after(b, n)), tail))
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The pairs (a, b) whose norms are similar enough, and the other pairs."""
     pairs = stored(pairs.distinct(), "pairs")
@@ -152,12 +171,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> tuple[Da
     longest = F.greatest(F.length("na"), F.length("nb"))
     both = both.withColumn("_most", F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)).cast("int"))
     both = both.where(F.abs(F.length("na") - F.length("nb")) <= F.col("_most"))
-    # what both begin and end with costs no edits, so only the middles are compared
-    both = both.withColumn("_p", _shared("na", "nb", False)).withColumns({x: F.substring(F.col(x), F.col("_p") + 1, F.length(x)) for x in ("na", "nb")})
-    both = both.withColumn("_s", _shared("na", "nb", True)).withColumns({x: F.substring(F.col(x), F.lit(1), F.length(x) - F.col("_s")) for x in ("na", "nb")})
-    # most that are near are very near: a narrow band decides them
-    band = F.expr("levenshtein(na, nb, least(_most, 4 + cast(_most / 16 as int)))") >= 0
-    near = band | (F.expr("levenshtein(na, nb, _most)") >= 0)
+    near = _within(F.col("na"), F.col("nb"), F.col("_most"))
     good = stored(both.where(near).select("a", "b"), "links")
     return good, pairs.join(good, ["a", "b"], "left_anti")
 
