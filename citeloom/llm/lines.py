@@ -1,10 +1,12 @@
 """Fuzzy line dedup in DataFrame operations only: SimHash, pigeonhole blocks, edit similarity, components.
 
 A line is normalised (lower case, punctuation to spaces, runs of space to one); lines with equal norms are one
-node. A node's 63-bit SimHash counts the bits of the hashes of its different words of five letters or more, or of
-all its different words where it has fewer than six such: with every word counted, a few common ones decide the fingerprint, and unrelated
-lines crowd the buckets. Two nodes are linked if their fingerprints differ in at most three bits and their norms' edit
-similarity (1 - distance / longer length) is 0.8 or more. Candidates share two of five bit blocks and have lengths that the similarity allows.
+node. Two nodes are linked if they are candidates and their norms' edit similarity (1 - distance / longer length) is 0.8 or more.
+Candidates have lengths that the similarity allows and share a key. Keys are of two kinds. One is two of five blocks of
+a 63-bit SimHash of the line's different words of five letters or more (of all its different words where it has fewer than six
+such); one changed word flips more of its bits than blocks forgive, so it finds only part of the similar lines. The other
+is two neighbours among the eight least hashes of the line's runs of three words; lines of few words have the same of runs of four
+characters, and lines below ten characters themselves and all they are with one character left out.
 In a bucket every node is compared with the bucket's first node; the
 components of these links are found, and then only nodes outside the first node's component are compared with the others, and
 only across components. So a bucket of thousands of variants costs about one comparison each, and components come out exactly
@@ -29,13 +31,14 @@ from citeloom.llm.common import row_key, stored
 from citeloom.llm.graph import components
 from citeloom.llm.quality import let
 
-RADIUS = 3
 SIMILARITY = 0.8
 PUNCTUATION = "\t\x0b\x0c\r.,;:!?\"'()[]{}|*#$%&<>-_/\\=+~^`@"
 #: (shift, width) of the blocks of the 63 bits.
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 12), (51, 12)]
 LANE, SHORT_LANE, SHORT = 21, 9, 511
 LONG, ENOUGH = 5, 6
+#: Least hashes a line keeps; from so many words on it has runs of words, below so many runs of characters, below TINY characters omissions.
+LEAST, WORDS, FEW, TINY = 8, 5, 13, 10
 MAX_BITS = 27
 
 
@@ -55,6 +58,37 @@ def features(norm: str) -> Column:
     return let(words, lambda d: let(long(d), lambda x: F.when(F.size(x) >= ENOUGH, x).otherwise(d)))
 
 
+def anchors(norm: Column) -> Column:
+    """The keys of a line besides its fingerprint's: an array of longs."""
+    none = F.array().cast("array<bigint>")
+    upto = lambda n, body: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), body)).otherwise(none)
+
+    def neighbours(hashes: Column) -> Column:
+        least = F.slice(F.sort_array(F.array_distinct(hashes)), 1, LEAST)
+        return let(least, lambda h: F.when(F.size(h) == 1, h).otherwise(upto(F.size(h) - 1, lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1)))))
+
+    def runs(words: Column) -> Column:
+        three = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+        return F.when(F.size(words) >= WORDS, neighbours(upto(F.size(words) - 2, three))).otherwise(none)
+
+    def characters(words: Column) -> Column:
+        four = F.transform(F.regexp_extract_all(norm, F.lit("(?s)(?=(.{4}))"), F.lit(1)), lambda x: F.xxhash64(x, F.lit(4)))
+        return F.when(F.size(words) < FEW, neighbours(four)).otherwise(none)
+
+    without = lambda i: F.xxhash64(F.concat(F.substring(norm, F.lit(1), i), F.substring(norm, i + 2, F.lit(TINY))))
+    tiny = F.when(F.length(norm) < TINY, F.concat(F.array(F.xxhash64(norm)), upto(F.length(norm), without))).otherwise(none)
+    return F.concat(let(F.split(norm, " "), lambda w: F.concat(runs(w), characters(w))), tiny)
+
+
+def anchored(lines: DataFrame) -> DataFrame:
+    """(id, size, key) of each distinct line's anchors."""
+    most = 2 * LEAST + TINY
+    rows = lines.select("id", F.length("norm").alias("size"), anchors(F.col("norm")).alias("k"))
+    rows = rows.select("id", "size", *[F.get("k", F.lit(i)).alias(f"k{i}") for i in range(most)])
+    one = rows.groupBy("id").agg(F.min("size").alias("size"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(most)])  # longs stay in a hash table
+    return one.select("id", "size", F.explode(F.array_distinct(F.array_compact(F.array(*[f"k{i}" for i in range(most)])))).alias("key"))
+
+
 def fingerprints(lines: DataFrame) -> DataFrame:
     """(id, fp, size) of each distinct line. A bit is set if it is set in more than half of its features' hashes; size: code points.
 
@@ -106,12 +140,8 @@ def maybe_in(rows: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, Colu
     return rows, F.coalesce(bit, F.lit(0)) == 1
 
 
-def _apart(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-
-def buckets(nodes: DataFrame) -> DataFrame:
-    """Nodes under each of their keys that others share, with the bucket's size n and its first node in an order of its own.
+def buckets(nodes: DataFrame, more: DataFrame) -> DataFrame:
+    """Nodes (id, fp, size) and anchors (id, size, key) under each of their keys that others share, with the bucket's size n and its first node in an order of its own.
 
     The order differs from key to key, so that a dense group meets several first nodes.
     """
@@ -119,18 +149,18 @@ def buckets(nodes: DataFrame) -> DataFrame:
     for i, chosen in enumerate(combinations(BLOCKS, 2)):
         mask = sum(((1 << w) - 1) << s for s, w in chosen)
         keys.append(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(mask))))
-    keyed = nodes.select("id", "fp", "size", F.explode(F.array(*keys)).alias("key"))
+    keyed = nodes.select("id", "size", F.explode(F.array(*keys)).alias("key")).union(more.select("id", "size", "key"))
     w = Window.partitionBy("key").orderBy(F.xxhash64("key", "id"), "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.first(F.struct("id", "fp", "size")).over(w)
-    keyed = keyed.select("key", "id", "fp", "size", F.count("*").over(Window.partitionBy("key")).alias("n"), first.alias("rep"))
-    keyed = keyed.where("n > 1 and id <> rep.id").withColumn("near", _near("fp", "rep.fp", "size", "rep.size"))
-    return stored(keyed.where("n > 2 or near").select("key", "id", "fp", "size", "n", F.col("rep.id").alias("rep"), "near"), "buckets")
+    first = F.first(F.struct("id", "size")).over(w)
+    keyed = keyed.select("key", "id", "size", F.count("*").over(Window.partitionBy("key")).alias("n"), first.alias("rep"))
+    keyed = keyed.where("n > 1 and id <> rep.id").withColumn("near", _near("size", "rep.size"))
+    return stored(keyed.where("n > 2 or near").select("key", "id", "size", "n", F.col("rep.id").alias("rep"), "near"), "buckets")
 
 
-def _near(fa: str, fb: str, sa: str, sb: str, radius: int = RADIUS, similarity: float = SIMILARITY) -> Column:
-    """Close fingerprints, and lengths that the edit similarity allows."""
+def _near(sa: str, sb: str, similarity: float = SIMILARITY) -> Column:
+    """Lengths that the edit similarity allows."""
     longest = F.greatest(F.col(sa), F.col(sb))
-    return (_apart(fa, fb) <= radius) & (F.abs(F.col(sa) - F.col(sb)) <= F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)))
+    return F.abs(F.col(sa) - F.col(sb)) <= F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9))
 
 
 def _shared(a: Column, b: Column, at_end: bool) -> Column:
@@ -178,23 +208,23 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> tuple[Da
 
 def links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b) that connect just the nodes that links connect."""
-    b = buckets(fingerprints(lines))
+    b = buckets(fingerprints(lines), anchored(lines))
     pair = [F.least("rep", "id").alias("a"), F.greatest("rep", "id").alias("b")]
     first, apart = _verified(b.where("near").select(*pair), lines, similarity)
     # where all of a bucket is linked to its first node there is nothing more to find; bitmaps leave such buckets where they are
     large = b.where("n > 2").withColumn("pair", F.xxhash64(*pair))
     rows, failed = maybe_in(large, "pair", apart.select(F.xxhash64("a", "b").alias("id")))
     loose = stored(rows.where(~F.col("near") | failed).select(F.col("key").alias("id")).distinct(), "loose")
-    rows, test = maybe_in(large.select("key", "id", "fp", "size", "rep"), "key", loose)
-    more = rows.where(test).select("key", "id", "fp", "size", "rep")
+    rows, test = maybe_in(large.select("key", "id", "size", "rep"), "key", loose)
+    more = rows.where(test).select("key", "id", "size", "rep")
     # what is connected by now needs no more links: only nodes outside their bucket's first component meet the rest of it
     comp = stored(components(first), "parts")
     more = more.join(comp, F.col("id") == F.col("node"), "left").drop("node")
-    more = more.select("key", "id", "fp", "size", "rep", F.coalesce("root", "id").alias("root"))
+    more = more.select("key", "id", "size", "rep", F.coalesce("root", "id").alias("root"))
     more = more.join(comp.select(F.col("node").alias("rep"), F.col("root").alias("r2")), "rep", "left")
-    more = more.select("key", "id", "fp", "size", "root", (F.coalesce("r2", "rep") == F.col("root")).alias("with_rep"))
-    x = more.where("not with_rep").select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "fp", "size", "root")])
-    pairs = x.join(more, "key").where((F.col("root1") != F.col("root")) & _near("fp1", "fp", "size1", "size"))
+    more = more.select("key", "id", "size", "root", (F.coalesce("r2", "rep") == F.col("root")).alias("with_rep"))
+    x = more.where("not with_rep").select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "size", "root")])
+    pairs = x.join(more, "key").where((F.col("root1") != F.col("root")) & _near("size1", "size"))
     pairs = pairs.select(F.least("id1", "id").alias("a"), F.greatest("id1", "id").alias("b"))
     return first.union(_verified(pairs, lines, similarity)[0])
 

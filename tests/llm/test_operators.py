@@ -149,6 +149,42 @@ def test_lines_against_all_pairs(spark):
     assert lines.dedup(docs_of(spark, [])).count() == 0
 
 
+def _similar(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1] <= int(max(len(a), len(b)) * 0.2 + 1e-9)
+
+
+def test_lines_recall_against_edit_similarity(spark):
+    """Of all pairs of lines with edit similarity 0.8, whatever their fingerprints, the groups hold 95 of 100 at least, and no group has others."""
+    rng = random.Random(21)
+    base = [prose(rng, n) for n in (6, 9, 14, 20, 30, 45) for _ in range(4)]
+    names = set(base) | {"net pay", "net pays", "abcdefgh", "abcdxfgh"}
+    for b in base:
+        for k in range(5):
+            w = b.split()
+            for _ in range(1 + k % 3 * (len(w) >= 14)):
+                w[rng.randrange(len(w))] = "".join(rng.choice("klmnop") for _ in range(8))
+            names.add(" ".join(w))
+    names = sorted(names)
+    pairs = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if _similar(a, b)}
+    occ = lines.occurrences(docs_of(spark, list(enumerate(names))))
+    comp = {r["node"]: r["root"] for r in graph.components(lines.links(occ)).collect()}
+    group = {r["norm"]: comp.get(r["id"], r["id"]) for r in occ.select("id", "norm").collect()}
+    found = sum(group[a] == group[b] for a, b in pairs)
+    print(f"{found} of {len(pairs)} pairs")
+    assert found >= 0.95 * len(pairs)
+    reach = {n: n for n in names}
+    for _ in names:
+        for a, b in pairs:
+            reach[a] = reach[b] = min(reach[a], reach[b])
+    assert all(reach[a] == reach[b] for a in names for b in names if group[a] == group[b])
+    assert group["net pay"] == group["net pays"] and group["abcdefgh"] == group["abcdxfgh"]
+
+
 def test_line_simhash_of_long_lines(spark):
     long = " ".join(f"word{i % 497}" for i in range(3000))
     got = lines.fingerprints(lines.occurrences(docs_of(spark, [(1, long)]))).first()
