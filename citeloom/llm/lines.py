@@ -35,7 +35,7 @@ SIMILARITY = 0.8
 PUNCTUATION = "\t\x0b\x0c\r.,;:!?\"'()[]{}|*#$%&<>-_/\\=+~^`@"
 #: (shift, width) of the blocks of the 63 bits.
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 12), (51, 12)]
-LANE, SHORT_LANE, SHORT = 21, 9, 511
+LANE, SHORT_LANE, WIDE_LANE, SHORT = 21, 9, 63, 511
 LONG, ENOUGH = 5, 6
 #: Least hashes a line keeps; from so many words on it has runs of words, below so many runs of characters, below TINY characters omissions.
 LEAST, WORDS, FEW, TINY = 8, 5, 13, 10
@@ -93,14 +93,13 @@ def fingerprints(lines: DataFrame) -> DataFrame:
     """(id, fp, size) of each distinct line. A bit is set if it is set in more than half of its features' hashes; size: code points.
 
     Hashes are rows and their bits are summed in lanes of a long, which stays in generated code; a row's hashes are in one task, so
-    what is shuffled is one row a line: of nine sums below 511 characters (fewer than 256 features), of 21 beyond. A line of
-    2^20 characters or more might not fit its lanes: its id is its fingerprint, and it meets only its equals.
+    what is shuffled is one row a line: of nine sums below 511 characters (fewer than 256 features), of 21 below 2^20 characters, of 63 beyond.
     """
     lines = lines.select("id", "norm", F.length("norm").alias("size"))
     most = 1 << (LANE - 1)
     each = lambda some: lines.where(some).select("id", "size", F.monotonically_increasing_id().alias("row"), features("norm").alias("w"))
     small = _majority(each(F.col("size") < SHORT), SHORT_LANE).union(_majority(each((F.col("size") >= SHORT) & (F.col("size") < most)), LANE))
-    large = lines.where(F.col("size") >= most).select("id", F.col("id").bitwiseAND(F.lit((1 << 63) - 1)).alias("fp"), "size")
+    large = _majority(each(F.col("size") >= most), WIDE_LANE)
     return stored(small.union(large).groupBy("id").agg(F.min("fp").alias("fp"), F.min("size").alias("size")), "line-fps")
 
 
@@ -166,7 +165,7 @@ def _near(sa: str, sb: str, similarity: float = SIMILARITY) -> Column:
 def _shared(a: Column, b: Column, at_end: bool) -> Column:
     """How many characters two different strings begin (end) with in common: a binary search over substrings."""
     part = (lambda x, n: F.substring(x, -n, n)) if at_end else (lambda x, n: F.substring(x, F.lit(1), n))
-    steps = F.array(*[F.lit(1 << i) for i in range(LANE - 2, -1, -1)])
+    steps = F.filter(F.array(*[F.lit(1 << i) for i in range(29, -1, -1)]), lambda step: step <= F.length(a))
     return F.aggregate(steps, F.lit(0), lambda n, step: F.when(part(a, n + step) == part(b, n + step), n + step).otherwise(n))
 
 

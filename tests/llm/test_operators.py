@@ -195,6 +195,18 @@ def test_line_simhash_of_long_lines(spark):
     assert got["fp"] == int(np.packbits(c * 2 > len(h), bitorder="little").view(np.uint64)[0]) & ((1 << 63) - 1)
 
 
+def test_lines_of_a_million_characters_meet(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9))) for _ in range(160000)]
+    near = [*words[:80000], "changed", *words[80001:]]
+    a, b = " ".join(words), " ".join(near)
+    assert min(len(a), len(b)) > 1 << 20
+    docs = docs_of(spark, [(1, a), (2, b)])
+    fps = {r["size"]: r["fp"] for r in lines.fingerprints(lines.occurrences(docs)).collect()}
+    assert (fps[len(a)] ^ fps[len(b)]).bit_count() <= 3
+    assert {r["doc_id"]: r["_removed"] for r in lines.dedup(docs).collect()} == {1: 0, 2: 1}
+
+
 def test_bitmap_keeps_every_member(spark):
     ids = spark.range(0, 3000, 7)
     rows, test = lines.maybe_in(spark.range(0, 3000).withColumnRenamed("id", "v"), "v", ids)
