@@ -93,7 +93,7 @@ def coord_related(spark: SparkSession, d: str) -> DataFrame:
 
 def prefix_descendants(spark: SparkSession, d: str) -> DataFrame:
     p = provisions(spark, d).select("coordinate", "okey")
-    return X.descendants(p, "uk/ukpga/1995/1").union(X.descendants(p.where("okey < 2000"), "uk/ukpga/1996"))
+    return X.descendants(p, "uk/ukpga/1995/1").union(X.descendants(p, "uk/ukpga/1996"))
 
 
 def children(spark: SparkSession, d: str) -> DataFrame:

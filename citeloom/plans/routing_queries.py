@@ -150,7 +150,7 @@ def url_identifiers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extract_provisions(spark: SparkSession, d: str) -> DataFrame:
-    p = provisions(spark, d).where("okey < 5000").select(F.col("coordinate").alias("id"), F.concat(F.lit("see ss. "), "line", F.lit(", "), F.col("line") + 1, F.lit(" and Sch. "), "line", F.lit(" para. 4(b)")).alias("text"))
+    p = provisions(spark, d).select(F.col("coordinate").alias("id"), F.concat(F.lit("see ss. "), "line", F.lit(", "), F.col("line") + 1, F.lit(" and Sch. "), "line", F.lit(" para. 4(b)")).alias("text"))
     m = extraction.mentions(p, "id", "text").where("kind = 'provision'")
     return m.select("id", "start", F.col("end").alias("stop"), F.col("key_of").alias("label"))
 
@@ -179,7 +179,7 @@ def order_keys(spark: SparkSession, d: str) -> DataFrame:
     """Designators in statutory order within each instrument."""
     from pyspark.sql import Window
 
-    p = provisions(spark, d).where("okey < 4000")
+    p = provisions(spark, d)
     suffix = F.element_at(F.array(*[F.lit(x) for x in ("", "ZA", "A", "B")]), (F.col("line") % 4 + 1).cast("int"))
     made = p.select("okey", F.concat((F.col("line") % 3).cast("string"), suffix, F.lit("")).alias("d")).distinct()
     w = Window.partitionBy("okey").orderBy(C.statutory_order(F.col("d")))
