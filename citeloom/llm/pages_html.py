@@ -1,15 +1,15 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
 A lenient parser gives each page's DOM. Its skeleton (labels of tag and class, runs of like siblings merged)
-is counted over all pages; the commonest skeleton of a host is its reference tree. Simple tree matching aligns a
+is counted over all pages; the commonest skeleton of a host, even if it occurs once, is its reference tree. Simple tree matching aligns a
 page's skeleton to it, so that blocks of different pages fall into the same slots. For every slot the texts of all
 pages of the host are counted (as hashes, each distinct page once); a text that fills its slot on most pages is a constant
 node, part of the template, and goes, while varying slots are content. Elements that can hold no article
 (navigation, footers, forms, adverts, comments ...; by tag, role and class) are left out first, and where a page marks
 its article, only that counts.
 
-If constants make up half of a page's text or more, the page's host holds copies of one article and nothing is
-taken as template. Counts cover all pages of all hosts; a hot host's pages are never brought together, only counts are.
+Where a page's other texts only stand in for constants that its slots lack, it has nothing of its own. If that is so for most of
+a host's distinct pages, the host holds copies of one article and nothing is taken as template. Counts cover all pages of all hosts; a hot host's pages are never brought together, only counts are.
 
 Defined results: null or empty html gives an empty text; a page whose url has no host shares the host ""; markup that
 is not closed is read to the end; repeated rows stay repeated; an empty table gives no rows; other columns are ignored.
@@ -301,12 +301,13 @@ def references(hosted: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            made = [written(skeleton(page_blocks(h.as_py())[0])) for h in b.column(1)]
+            paths = [page_blocks(h.as_py())[0] for h in b.column(1)]
+            made = [written(skeleton(p)) if p else None for p in paths]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], names=["host", "reference"])
 
     s = hosted.select("host", "html").mapInArrow(run, "host string, reference string")
-    s = s.groupBy("host", "reference").agg(F.count("*").alias("n"))
-    return s.groupBy("host").agg(F.max(F.struct("n", "reference")).alias("m")).where("m.n >= 2").select("host", "m.reference")
+    s = s.where("reference is not null").groupBy("host", "reference").agg(F.count("*").alias("n"))
+    return s.groupBy("host").agg(F.max(F.struct("n", "reference")).alias("m")).select("host", "m.reference")
 
 
 def constants(aligned: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
@@ -332,7 +333,13 @@ def constants(aligned: DataFrame, share: float = SHARE, least: int = LEAST) -> D
     rows = stored(rows.distinct(), "slots")
     filled = rows.groupBy("host", "slot", "filled").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     total = rows.groupBy("host", "slot").agg(F.countDistinct("page").alias("pages"))
-    kept = filled.join(total, ["host", "slot"]).where(F.col("n") >= F.col("pages") * share)
+    kept = stored(filled.join(total, ["host", "slot"]).where(F.col("n") >= F.col("pages") * share).select("host", "slot", "filled"), "constants")
+    # texts of a page beyond those that can stand in for constants its slot lacks are its own
+    per_slot = rows.groupBy("host", "slot", "page").agg(F.count("*").alias("texts"))
+    most = kept.groupBy("host", "slot").agg(F.count("*").alias("most"))
+    own = per_slot.join(most, ["host", "slot"], "left").select("host", "page", (F.col("texts") > F.coalesce("most", F.lit(0))).alias("own"))
+    own = own.groupBy("host", "page").agg(F.max("own").alias("own")).groupBy("host").agg(F.avg(F.col("own").cast("int")).alias("own"))
+    kept = kept.join(own.where("own >= 0.5").select("host"), "host", "left_semi")
     return kept.groupBy("host").agg(F.array_sort(F.collect_set("filled")).alias("template"))
 
 
@@ -353,8 +360,7 @@ def extract(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataF
                     known = set(template.as_py())
                     names = slots(paths, read(ref.as_py()))
                     left = [t for s, t in zip(names, texts, strict=True) if _h(s + "\n" + t) not in known]
-                    if 2 * sum(map(len, left)) > sum(map(len, texts)):
-                        n, texts = len(texts) - len(left), left
+                    n, texts = len(texts) - len(left), left
                 texts_out.append("\n".join(texts))
                 cut.append(n)
             yield pa.RecordBatch.from_arrays(

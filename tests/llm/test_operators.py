@@ -349,6 +349,19 @@ def test_wrapper_induction(spark):
     assert got[103] == "unclosed text"
 
 
+def test_wrapper_of_short_articles_and_of_pages_without_a_like(spark):
+    page = "<body><div class=top><p>" + "constant words of the top " * 9 + "</div><div class=story>{}</div><div class=end><p>Constant end</div></body>"
+    rows = [(i, f"http://short.example/{i}", page.format(f"<p>story {i}")) for i in range(6)]
+    rows.append((6, "http://short.example/6", page.format("<p>" + "a longer story six " * 30)))
+    rows += [(10 + i, f"http://unlike.example/{i}", page.format(f"<h{i + 1}>part</h{i + 1}><p>tale {i}")) for i in range(6)]
+    text = [f"paragraph {k} of the one article" for k in range(8)]
+    rows += [(20 + i, f"http://copies.example/{i}", "".join(f"<p>{t}{' changed' * (k == i)}" for k, t in enumerate(text))) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in pages_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "story 3" and got[6] == ("a longer story six " * 30).strip()
+    assert got[13] == "part\ntale 3"
+    assert got[22] == "\n".join(t + " changed" * (k == 2) for k, t in enumerate(text)), "copies keep their text"
+
+
 def test_tree_match():
     a = ("b", (("p", ()), ("d", (("p", ()),)), ("q", ())))
     b = ("b", (("d", (("p", ()), ("x", ()))), ("q", ())))
