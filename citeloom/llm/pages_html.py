@@ -5,8 +5,8 @@ is counted over all pages; the commonest skeleton of a host, even if it occurs o
 page's skeleton to it, so that blocks of different pages fall into the same slots. For every slot the texts of all
 pages of the host are counted (as hashes, each distinct page once); a text that fills its slot on most pages is a constant
 node, part of the template, and goes, while varying slots are content. Elements that can hold no article
-(navigation, footers, forms, adverts, comments ...; by tag, role and class) are left out first, and where a page marks
-its article, only that counts.
+(navigation, footers, forms, adverts, comments ...; by tag, role and whole class or id) are left out first, and where a page marks
+its article, only that counts. What a class or id names is not left out where it holds more than half of the page's text.
 
 Where a page's other texts only stand in for constants that its slots lack, it has nothing of its own. If that is so for most of
 a host's distinct pages, the host holds copies of one article and nothing is taken as template. Counts cover all pages of all hosts; a hot host's pages are never brought together, only counts are.
@@ -67,14 +67,13 @@ DROP_ROLES = frozenset(
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<!--|<[!?][^>]*+>?""")
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _PLAIN = re.compile(r"[()\s]")
-_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "kids", "drop", "head")
+    __slots__ = ("tag", "label", "kids", "drop", "head", "named")
 
-    def __init__(self, tag: str, label: str = "", drop: bool = False, head: bool = False):
-        self.tag, self.drop, self.head, self.kids = tag, drop, head, []
+    def __init__(self, tag: str, label: str = "", drop: bool = False, head: bool = False, named: bool = False):
+        self.tag, self.drop, self.head, self.named, self.kids = tag, drop, head, named, []  # named: left out for its class or id alone
         self.label = _PLAIN.sub("_", label or tag)
 
 
@@ -83,7 +82,7 @@ def _element(tag: str, attrs: str) -> Node:
         return Node(tag, tag, tag in DROP_TAGS or attrs.strip().split() == ["hidden"], tag == "header")
     got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     cls = got.get("class", "")
-    words = {w.lower() for w in _WORDS.findall(f"{cls} {got.get('id', '')}")}
+    words = set(f"{cls} {got.get('id', '')}".lower().split())
     role = got.get("role", "").lower()
     drop = (
         tag in DROP_TAGS
@@ -91,9 +90,10 @@ def _element(tag: str, attrs: str) -> Node:
         or got.get("aria-hidden") == "true"
         or "display:none" in got.get("style", "").replace(" ", "").lower()
     )
-    if tag not in ("html", "body", "main") and not (tag == "article" and not words & {"comment", "comments", "ad", "ads", "related"}):
-        drop = drop or bool(words & DROP_WORDS)
-    return Node(tag, f"{tag}.{'.'.join(sorted(cls.split()))}" if cls else tag, drop, tag == "header" or "header" in words)
+    kept = tag in ("html", "body", "main") or (tag == "article" and not words & {"comment", "comments", "ad", "ads", "related"})
+    word, head = not kept and bool(words & DROP_WORDS), "header" in words
+    named = not drop and tag != "header" and (word or head)
+    return Node(tag, f"{tag}.{'.'.join(sorted(cls.split()))}" if cls else tag, drop or word, tag == "header" or head, named)
 
 
 def parse(html: str) -> Node:
@@ -136,6 +136,29 @@ def parse(html: str) -> Node:
     return root
 
 
+def _spare(root: Node) -> None:
+    """Elements left out for their class or id alone stay where they hold more than half of the text that nothing else leaves out."""
+    size: dict[int, int] = {}
+    named = []
+
+    def count(node: Node) -> int:
+        n = 0
+        for k in node.kids:
+            if isinstance(k, str):
+                n += len("".join(k.split()))
+            elif k.named or not (k.drop or k.tag == "header"):
+                n += count(k)
+        if node.named:
+            named.append(node)
+            size[id(node)] = n
+        return n
+
+    total = count(root)
+    for node in named:
+        if 2 * size[id(node)] > total:
+            node.drop = node.head = False
+
+
 def _close(stack: list[Node], which: set, within: set) -> None:
     """Ends the outermost open element of which that lies inside the innermost element of within."""
     at = None
@@ -281,7 +304,9 @@ def slots(paths: list[tuple], reference: Skeleton | None) -> list[str]:
 def page_blocks(html: str | None) -> tuple[list[tuple], list[str]]:
     if not html:
         return [], []
-    got = list(blocks(*content_roots(parse(html))))
+    root = parse(html)
+    _spare(root)
+    got = list(blocks(*content_roots(root)))
     return [p for p, _ in got], [t for _, t in got]
 
 

@@ -362,6 +362,16 @@ def test_wrapper_of_short_articles_and_of_pages_without_a_like(spark):
     assert got[22] == "\n".join(t + " changed" * (k == 2) for k, t in enumerate(text)), "copies keep their text"
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ["div class='content has-sidebar'", "div id=page class='with-navbar'", "div class=elementor-widget-container", "section class='notice-board'", "div class='widget'", "div class=header"],
+)
+def test_class_words_leave_articles(wrapper):
+    tag = wrapper.split()[0]
+    html = f"<body><div class=sidebar>side</div><{wrapper}><h1>Title</h1><p>The article itself</p><p class='share-price'>A price</p></{tag}><div class='social'>post it</div>"
+    assert pages_html.page_blocks(html)[1] == ["Title", "The article itself", "A price"]
+
+
 def test_tree_match():
     a = ("b", (("p", ()), ("d", (("p", ()),)), ("q", ())))
     b = ("b", (("d", (("p", ()), ("x", ()))), ("q", ())))
