@@ -401,6 +401,17 @@ def test_mixing(spark):
     assert mixing.mixed(df).columns == df.columns and mixing.mixed(docs_of(spark, [])).count() == 0
 
 
+def test_cut_of_each_source_is_the_cut_of_the_schedule(spark):
+    rng = random.Random(6)
+    df = docs_of(spark, [(i, prose(rng, rng.randrange(1, 50))) for i in range(200)], ["a", "a", "a", "b", "c"])
+    unit = mixing.units(df)
+    got = {r["doc_id"]: r["taken"] for r in mixing.taken(mixing.copies(mixing.queued(unit, mixing.targets(unit)))).collect()}
+    want = Counter()
+    for r in mixing.schedule(df).collect():
+        want[r["doc_id"]] += int(r["words"])
+    assert {i: n for i, n in got.items() if n} == dict(want)
+
+
 def test_packing(spark):
     rng = random.Random(9)
     texts = [*EDGE, (7, "<|endoftext|> end"), (8, prose(rng, 3000))] + [(20 + i, prose(rng, rng.randrange(1, 400))) for i in range(80)]
