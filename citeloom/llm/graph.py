@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import stored
+from citeloom.llm.common import dropped, stored
 
 
 def _sign(edges: DataFrame) -> tuple:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.union(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = stored(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        last, e = e, stored(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        dropped(last)
         now = _sign(e)
         if now == before:
             break

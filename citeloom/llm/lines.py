@@ -1,45 +1,48 @@
-"""Fuzzy line dedup in DataFrame operations only: SimHash, pigeonhole blocks, edit similarity, components.
+"""Fuzzy line dedup in DataFrame operations only: shared anchors, SimHash, edit similarity, components.
 
 A line is normalised (lower case, punctuation to spaces, runs of space to one); lines with equal norms are one
 node. Two nodes are linked if they are candidates and their norms' edit similarity (1 - distance / longer length) is 0.8 or more.
-Candidates have lengths that the similarity allows and share a key. Keys are of two kinds. One is two of five blocks of
-a 63-bit SimHash of the line's different words of five letters or more (of all its different words where it has fewer than six
-such); one changed word flips more of its bits than blocks forgive, so it finds only part of the similar lines. The other
-is two neighbours among the eight least hashes of the line's runs of three words; lines of few words have the same of runs of four
-characters, and lines below ten characters themselves and all they are with one character left out.
-In a bucket every node is compared with the bucket's first node; the
-components of these links are found, and then only nodes outside the first node's component are compared with the others, and
-only across components. So a bucket of thousands of variants costs about one comparison each, and components come out exactly
+
+Candidates share an anchor. By the pigeonhole principle a few edits leave most stretches of a line whole; anchors are
+two neighbours among the eight least hashes of its runs of three words; lines of few words have the same of runs of six
+characters, and lines below ten characters themselves and all they are with one character left out. Blocks of a SimHash,
+with which the method was named, do not serve as keys: lines of edit similarity 0.8 differ in up to 22 of 64 bits, and blocks forgive
+three. The SimHash of all words instead thins the candidates: more than ``RADIUS`` different bits end a pair before
+its edit distance is computed (where both lines have ``FEW`` words or more; of few words a fingerprint says little).
+
+In a bucket every node is compared with one of its nodes; the
+components of these links are found, and then only members of different components of a bucket are compared, so a bucket of
+thousands of variants costs about one comparison each, and components come out exactly
 as if all pairs had been compared. Of each connected group one line stays: the first by
 (doc_id, nulls last; hash of the text; position). Lines without a letter or digit always stay.
 
 What is broadcast is a bitmap of at most 2^27 bits, which only thins what a join then decides.
 
 Defined results: a null or empty text has no removable line and comes out as an empty text; rows equal in doc_id and
-text count as one document and get the same result; a table without rows gives none; extra columns pass through ``dedup``.
+text count as one document and get the same result; a table without rows gives none; other columns may have any names and pass through.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import row_key, stored
+from citeloom.llm.common import carried, carrying, dropped, row_key, stored
 from citeloom.llm.graph import components
 from citeloom.llm.quality import let
 
 SIMILARITY = 0.8
 PUNCTUATION = "\t\x0b\x0c\r.,;:!?\"'()[]{}|*#$%&<>-_/\\=+~^`@"
-#: (shift, width) of the blocks of the 63 bits.
-BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 12), (51, 12)]
-LANE, SHORT_LANE, WIDE_LANE, SHORT = 21, 9, 63, 511
-LONG, ENOUGH = 5, 6
 #: Least hashes a line keeps; from so many words on it has runs of words, below so many runs of characters, below TINY characters omissions.
 LEAST, WORDS, FEW, TINY = 8, 5, 13, 10
+#: Words of a run, characters of a run, and bits in which the fingerprints of a candidate pair may differ.
+RUN, GRAM, RADIUS = 3, 6, 20
+LANE = 31
 MAX_BITS = 27
+#: Occurrences of a group from which on its rows are dealt over SALTS tasks.
+HOT, SALTS = 2_000, 64
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -51,71 +54,51 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return stored(rows.select("doc_id", "_k1", "_k2", "pos", F.xxhash64("norm").alias("id"), "norm"), "lines")
 
 
-def features(norm: str) -> Column:
-    """What a line's fingerprint is made of."""
-    long = lambda words: F.filter(words, lambda w: F.length(w) >= LONG)
-    words = F.array_distinct(F.split(norm, " "))
-    return let(words, lambda d: let(long(d), lambda x: F.when(F.size(x) >= ENOUGH, x).otherwise(d)))
-
-
-def anchors(norm: Column) -> Column:
-    """The keys of a line besides its fingerprint's: an array of longs."""
-    none = F.array().cast("array<bigint>")
-    upto = lambda n, body: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), body)).otherwise(none)
-
-    def neighbours(hashes: Column) -> Column:
-        least = F.slice(F.sort_array(F.array_distinct(hashes)), 1, LEAST)
-        return let(least, lambda h: F.when(F.size(h) == 1, h).otherwise(upto(F.size(h) - 1, lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1)))))
-
-    def runs(words: Column) -> Column:
-        three = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-        return F.when(F.size(words) >= WORDS, neighbours(upto(F.size(words) - 2, three))).otherwise(none)
-
-    def characters(words: Column) -> Column:
-        four = F.transform(F.regexp_extract_all(norm, F.lit("(?s)(?=(.{4}))"), F.lit(1)), lambda x: F.xxhash64(x, F.lit(4)))
-        return F.when(F.size(words) < FEW, neighbours(four)).otherwise(none)
+def _least_pairs(parts: DataFrame, width: int) -> DataFrame:
+    """(id, keys) of rows (id, part), part an array: two neighbours among the least hashes of runs of width elements.
 
+    The hashes fall into LEAST classes by their last bits and each class keeps its least; neighbours skip empty classes. Rows are
+    exploded, so that hashes and minima stay in generated code, and copies of a line are one row after the first sums.
+    """
+    runs = parts.where(F.size("part") >= width).select("id", "part", F.posexplode("part").alias("i", "first"))
+    runs = runs.where(F.col("i") <= F.size("part") - width)
+    h = F.xxhash64("first", *[F.get("part", F.col("i") + j) for j in range(1, width)])
+    runs = runs.select("id", h.alias("h"))
+    kind = F.col("h").bitwiseAND(F.lit(LEAST - 1))
+    least = runs.groupBy("id").agg(*[F.min(F.when(kind == j, F.col("h"))).alias(f"m{j}") for j in range(LEAST)])
+    some = F.array_compact(F.array(*[f"m{j}" for j in range(LEAST)]))
+    pairs = lambda m: F.when(F.size(m) == 1, m).otherwise(F.zip_with(F.slice(m, F.lit(2), F.size(m)), F.slice(m, F.lit(1), F.size(m) - 1), lambda x, y: F.xxhash64(x, y)))
+    return least.select("id", let(some, pairs).alias("keys"))
+
+
+def anchors(lines: DataFrame) -> DataFrame:
+    """(id, keys) of the nodes, stored; a node may have several rows."""
+    norm = F.col("norm")
+    words = lines.select("id", F.split("norm", " ").alias("part"))
+    by_words = _least_pairs(words.where(F.size("part") >= WORDS), RUN)
+    few = words.where(F.size("part") < FEW).select("id", F.split(F.array_join("part", " "), "").alias("part"))
+    by_chars = _least_pairs(few, GRAM)
     without = lambda i: F.xxhash64(F.concat(F.substring(norm, F.lit(1), i), F.substring(norm, i + 2, F.lit(TINY))))
-    tiny = F.when(F.length(norm) < TINY, F.concat(F.array(F.xxhash64(norm)), upto(F.length(norm), without))).otherwise(none)
-    return F.concat(let(F.split(norm, " "), lambda w: F.concat(runs(w), characters(w))), tiny)
+    tiny = lines.where(F.length("norm") < TINY).select("id", F.concat(F.array(F.xxhash64("norm")), F.transform(F.sequence(F.lit(0), F.length("norm") - 1), without)).alias("keys"))
+    return stored(by_words.union(by_chars).union(tiny.distinct()), "anchors")
 
 
-def anchored(lines: DataFrame) -> DataFrame:
-    """(id, size, key) of each distinct line's anchors."""
-    most = 2 * LEAST + TINY
-    rows = lines.select("id", F.length("norm").alias("size"), anchors(F.col("norm")).alias("k"))
-    rows = rows.select("id", "size", *[F.get("k", F.lit(i)).alias(f"k{i}") for i in range(most)])
-    one = rows.groupBy("id").agg(F.min("size").alias("size"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(most)])  # longs stay in a hash table
-    return one.select("id", "size", F.explode(F.array_distinct(F.array_compact(F.array(*[f"k{i}" for i in range(most)])))).alias("key"))
+def fingerprints(norms: DataFrame) -> DataFrame:
+    """(id, size, words, fp) of each distinct line: its code points, its words, and 62 bits, each set if set in more than half of the words' hashes.
 
-
-def fingerprints(lines: DataFrame) -> DataFrame:
-    """(id, fp, size) of each distinct line. A bit is set if it is set in more than half of its features' hashes; size: code points.
-
-    Hashes are rows and their bits are summed in lanes of a long, which stays in generated code; a row's hashes are in one task, so
-    what is shuffled is one row a line: of nine sums below 511 characters (fewer than 256 features), of 21 below 2^20 characters, of 63 beyond.
+    Bits are summed two to a long, which stays in generated code and holds for lines of any length.
     """
-    lines = lines.select("id", "norm", F.length("norm").alias("size"))
-    most = 1 << (LANE - 1)
-    each = lambda some: lines.where(some).select("id", "size", F.monotonically_increasing_id().alias("row"), features("norm").alias("w"))
-    small = _majority(each(F.col("size") < SHORT), SHORT_LANE).union(_majority(each((F.col("size") >= SHORT) & (F.col("size") < most)), LANE))
-    large = _majority(each(F.col("size") >= most), WIDE_LANE)
-    return stored(small.union(large).groupBy("id").agg(F.min("fp").alias("fp"), F.min("size").alias("size")), "line-fps")
-
-
-def _majority(rows: DataFrame, lane: int) -> DataFrame:
-    """(id, fp, size) of rows (id, size, row, w) with fewer than 2^(lane - 1) words each."""
-    ones = sum(1 << (lane * i) for i in range(63 // lane))
-    bits = rows.select("id", "size", "row", F.explode("w").alias("w")).select("id", "size", "row", F.xxhash64("w").alias("h"))
-    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(ones))).alias(f"s{j}") for j in range(lane)]
-    per_line = bits.groupBy("row", "id", "size").agg(F.count("*").alias("n"), *sums)
-    top = 1 << (lane - 1)
-    lift = (F.lit(top - 1).cast("long") - F.floor(F.col("n") / 2)) * F.lit(ones)  # a lifted count has its top bit if it is a majority
+    ones = 1 | (1 << LANE)
+    words = norms.select("id", F.length("norm").alias("size"), F.explode(F.split("norm", " ")).alias("w")).select("id", "size", F.xxhash64("w").alias("h"))
+    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(ones))).alias(f"s{j}") for j in range(LANE)]
+    per = words.groupBy("id", "size").agg(F.count("*").alias("n"), *sums)
+    low = (1 << LANE) - 1
     fp = F.lit(0).cast("long")
-    for j in range(lane):
-        flags = F.shiftrightunsigned((F.col(f"s{j}") + lift).bitwiseAND(F.lit(ones * top)), lane - 1)
-        fp = fp.bitwiseOR(F.shiftleft(flags, j))
-    return per_line.select("id", fp.alias("fp"), "size")
+    for j in range(LANE):
+        for lane in (0, 1):
+            of = F.shiftright(f"s{j}", LANE * lane).bitwiseAND(F.lit(low)) if lane == 0 else F.shiftrightunsigned(f"s{j}", LANE)
+            fp = fp.bitwiseOR(F.when(of * 2 > F.col("n"), F.lit(1 << (j + LANE * lane))).otherwise(F.lit(0).cast("long")))
+    return per.select("id", "size", F.col("n").alias("words"), fp.alias("fp"))
 
 
 def _bitmap(ids: DataFrame) -> tuple[DataFrame, int]:
@@ -139,23 +122,6 @@ def maybe_in(rows: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, Colu
     return rows, F.coalesce(bit, F.lit(0)) == 1
 
 
-def buckets(nodes: DataFrame, more: DataFrame) -> DataFrame:
-    """Nodes (id, fp, size) and anchors (id, size, key) under each of their keys that others share, with the bucket's size n and its first node in an order of its own.
-
-    The order differs from key to key, so that a dense group meets several first nodes.
-    """
-    keys = []
-    for i, chosen in enumerate(combinations(BLOCKS, 2)):
-        mask = sum(((1 << w) - 1) << s for s, w in chosen)
-        keys.append(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(mask))))
-    keyed = nodes.select("id", "size", F.explode(F.array(*keys)).alias("key")).union(more.select("id", "size", "key"))
-    w = Window.partitionBy("key").orderBy(F.xxhash64("key", "id"), "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.first(F.struct("id", "size")).over(w)
-    keyed = keyed.select("key", "id", "size", F.count("*").over(Window.partitionBy("key")).alias("n"), first.alias("rep"))
-    keyed = keyed.where("n > 1 and id <> rep.id").withColumn("near", _near("size", "rep.size"))
-    return stored(keyed.where("n > 2 or near").select("key", "id", "size", "n", F.col("rep.id").alias("rep"), "near"), "buckets")
-
-
 def _near(sa: str, sb: str, similarity: float = SIMILARITY) -> Column:
     """Lengths that the edit similarity allows."""
     longest = F.greatest(F.col(sa), F.col(sb))
@@ -172,104 +138,148 @@ def _shared(a: Column, b: Column, at_end: bool) -> Column:
 def _within(a: Column, b: Column, most: Column) -> Column:
     """Is the edit distance of two different strings at most ``most``?
 
-    What both begin and end with costs no edits, so only the middles are compared; most that are near are very near, so a
-    narrow band comes first. The steps are bound by ``let``: as columns of their own the optimiser would write each into the next.
+    What both begin and end with costs no edits, so only the middles are compared. Similar lines are mostly found by an edit
+    script over words, whose cost is never below the distance and which is far cheaper: equal words go on in both, a
+    word that the other side's next one equals is inserted or left out, and other words are exchanged. Only where the script costs too
+    much the whole distance decides. The steps are bound by ``let``: as columns of their own the optimiser would write each into the next.
     """
-    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+    bound = lambda x, y, k: F.struct(x.alias("a"), y.alias("b"), k.alias("most"))
     after = lambda x, n: F.substring(x, n + 1, F.length(x))
     until = lambda x, n: F.substring(x, F.lit(1), F.length(x) - n)
-    at_most = lambda x, k: F.call_function("levenshtein", x["a"], x["b"], k) >= 0
+    state = lambda i, j, cost: F.struct(i.alias("i"), j.alias("j"), cost.alias("cost"))
+    long = lambda word: F.coalesce(F.length(word), F.lit(0)) + 1
+
+    def script(w: Column) -> Column:
+        """(i, j, cost) goes on until both lists of words end or it costs too much."""
+
+        def step(s: Column, _: Column) -> Column:
+            p, q = F.get(w["a"], s["i"]), F.get(w["b"], s["j"])
+            drop, add = F.get(w["a"], s["i"] + 1) == q, p == F.get(w["b"], s["j"] + 1)
+            return (
+                F.when(p == q, state(s["i"] + 1, s["j"] + 1, s["cost"])).when(s["cost"] > w["most"], s).when(p.isNull() & q.isNull(), s)
+                .when(q.isNull() | drop, state(s["i"] + 1, s["j"], s["cost"] + long(p)))
+                .when(p.isNull() | add, state(s["i"], s["j"] + 1, s["cost"] + long(q)))
+                .otherwise(state(s["i"] + 1, s["j"] + 1, s["cost"] + F.levenshtein(p, q)))
+            )
+
+        steps = F.sequence(F.lit(1), F.size(w["a"]) + F.size(w["b"]))
+        return F.aggregate(steps, state(F.lit(0), F.lit(0), F.lit(0)), step, lambda s: s["cost"]) <= w["most"]
 
     def decide(x: Column) -> Column:
-        return at_most(x, F.least(most, (most / 16).cast("int") + 4)) | at_most(x, most)
+        return let(bound(F.split(x["a"], " "), F.split(x["b"], " "), x["most"]), script) | (F.call_function("levenshtein", x["a"], x["b"], x["most"]) >= 0)
 
     def tail(x: Column) -> Column:
-        return let(_shared(x["a"], x["b"], True), lambda n: let(pair(until(x["a"], n), until(x["b"], n)), decide))
+        return let(_shared(x["a"], x["b"], True), lambda n: let(bound(until(x["a"], n), until(x["b"], n), x["most"]), decide))
 
-    return let(_shared(a, b, False), lambda n: let(pair(after(a, n), after(b, n)), tail))
+    return let(_shared(a, b, False), lambda n: let(bound(after(a, n), after(b, n), most), tail))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b) whose norms are similar enough, and the other pairs."""
-    pairs = stored(pairs.distinct(), "pairs")
-    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    thin, test = maybe_in(lines.select("id", "norm"), "id", ids)
-    texts = stored(thin.where(test).select("id", "norm").join(ids, "id").dropDuplicates(["id"]), "norms")
-    left, right = texts.toDF("a", "na"), texts.toDF("b", "nb")
-    both = pairs.join(left, "a").join(right, "b")
+def buckets(lines: DataFrame) -> DataFrame:
+    """(key, id, rep): each node under its keys that other nodes share, with one node of the bucket, which is its own rep.
+
+    The rep is the least by an order that differs from key to key, so that a dense group meets several. Counting comes first, with partial
+    sums, so that copies and unique keys never gather; only rows of shared keys are brought together.
+    """
+    turned = F.col("id").bitwiseXOR(F.xxhash64("key"))
+    keyed = anchors(lines).select("id", F.explode("keys").alias("key"))
+    ends = keyed.groupBy("key").agg(F.min(turned).alias("least"), F.max(turned).alias("most")).where("least <> most")
+    shared = stored(ends.select("key", F.col("least").bitwiseXOR(F.xxhash64("key")).alias("rep")), "shared")
+    thin, test = maybe_in(keyed, "key", shared.select(F.col("key").alias("id")))
+    return stored(thin.where(test).select("key", "id").distinct().join(shared, "key"), "buckets")
+
+
+def _similar(pairs: DataFrame, norms: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose norms are similar enough."""
+    left, right = norms.toDF("a", "na"), norms.toDF("b", "nb")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = pairs.repartition(parts, "a", "b").join(left, "a").join(right, "b")  # small in bytes, not in work: not to be coalesced
     longest = F.greatest(F.length("na"), F.length("nb"))
-    both = both.withColumn("_most", F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)).cast("int"))
-    both = both.where(F.abs(F.length("na") - F.length("nb")) <= F.col("_most"))
-    near = _within(F.col("na"), F.col("nb"), F.col("_most"))
-    good = stored(both.where(near).select("a", "b"), "links")
-    return good, pairs.join(good, ["a", "b"], "left_anti")
+    most = F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
+    return stored(both.where(_within(F.col("na"), F.col("nb"), most)).select("a", "b"), "links")
+
+
+def _promising(one: str, other: str, similarity: float) -> Column:
+    """Lengths and fingerprints that do not speak against a pair."""
+    apart = F.bit_count(F.col(f"{one}.fp").bitwiseXOR(F.col(f"{other}.fp"))) > RADIUS
+    few = F.least(F.col(f"{one}.words"), F.col(f"{other}.words")) < FEW
+    return _near(f"{one}.size", f"{other}.size", similarity) & (few | ~apart)
 
 
 def links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b) that connect just the nodes that links connect."""
-    b = buckets(fingerprints(lines), anchored(lines))
-    pair = [F.least("rep", "id").alias("a"), F.greatest("rep", "id").alias("b")]
-    first, apart = _verified(b.where("near").select(*pair), lines, similarity)
-    # where all of a bucket is linked to its first node there is nothing more to find; bitmaps leave such buckets where they are
-    large = b.where("n > 2").withColumn("pair", F.xxhash64(*pair))
-    rows, failed = maybe_in(large, "pair", apart.select(F.xxhash64("a", "b").alias("id")))
-    loose = stored(rows.where(~F.col("near") | failed).select(F.col("key").alias("id")).distinct(), "loose")
-    rows, test = maybe_in(large.select("key", "id", "size", "rep"), "key", loose)
-    more = rows.where(test).select("key", "id", "size", "rep")
-    # what is connected by now needs no more links: only nodes outside their bucket's first component meet the rest of it
+    b = buckets(lines)
+    ids = stored(b.select("id").distinct(), "ids")
+    thin, test = maybe_in(lines.select("id", "norm"), "id", ids)
+    norms = stored(thin.where(test).select("id", "norm").join(ids, "id").dropDuplicates(["id"]), "norms")
+    f = stored(fingerprints(norms), "line-fps")
+    light = f.select("id", F.struct("size", "words", "fp").alias("x"))
+    pair = [F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")]
+    with_rep = b.where("id <> rep").select(F.col("rep").alias("id1"), F.col("id").alias("id2")).distinct()
+    with_rep = with_rep.join(light.toDF("id1", "x1"), "id1").join(light.toDF("id2", "x2"), "id2").where(_promising("x1", "x2", similarity))
+    first = _similar(with_rep.select(*pair).distinct(), norms, similarity)
+    # what is connected by now needs no more links: only members of different components of a bucket meet
     comp = stored(components(first), "parts")
-    more = more.join(comp, F.col("id") == F.col("node"), "left").drop("node")
-    more = more.select("key", "id", "size", "rep", F.coalesce("root", "id").alias("root"))
-    more = more.join(comp.select(F.col("node").alias("rep"), F.col("root").alias("r2")), "rep", "left")
-    more = more.select("key", "id", "size", "root", (F.coalesce("r2", "rep") == F.col("root")).alias("with_rep"))
-    x = more.where("not with_rep").select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "size", "root")])
-    pairs = x.join(more, "key").where((F.col("root1") != F.col("root")) & _near("size1", "size"))
-    pairs = pairs.select(F.least("id1", "id").alias("a"), F.greatest("id1", "id").alias("b"))
-    return first.union(_verified(pairs, lines, similarity)[0])
+    placed = b.select("key", "id").join(comp, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    placed = stored(placed, "placed")
+    loose = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key")
+    open_ = stored(placed.join(loose, "key").join(light, "id").select("key", "id", "root", "x"), "open")
+    one, two = open_.toDF("key", "id1", "root1", "x1"), open_.toDF("key", "id2", "root2", "x2")
+    more = one.join(two, "key").where((F.col("id1") < F.col("id2")) & (F.col("root1") != F.col("root2")) & _promising("x1", "x2", similarity))
+    second = _similar(stored(more.select(*pair).distinct(), "pairs"), norms, similarity)
+    dropped(b, ids, norms, f, placed, open_)
+    return first.union(second)
 
 
 def removed_lines(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(_k1, _k2, gone): positions of each document's lines that are not their group's first occurrence."""
     comp = components(links(lines, similarity))
-    occ = lines.select("doc_id", "_k1", "_k2", "pos", "id").join(comp, F.col("id") == F.col("node"), "left")
-    occ = occ.select(
-        F.coalesce("root", "id").alias("g"), F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k1", "_k2", "pos").alias("at")
-    )
-    first = occ.groupBy("g").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last")
-    gone = occ.join(first, "g").where("at <> first").select("at._k1", "at._k2", "at.pos")
+    at = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k1", "_k2", "pos").alias("at")
+    thin, test = maybe_in(lines.select("id", at), "id", comp.select(F.col("node").alias("id")))
+    some, rest = thin.where(test).select("id", "at"), thin.where(~test).select("id", "at")
+    some = some.join(comp, F.col("id") == F.col("node"), "left").select(F.coalesce("root", "id").alias("id"), "at")
+    occ = stored(some.union(rest), "groups")
+    first = occ.groupBy("id").agg(F.count("*").alias("n"), F.min("at").alias("first")).where("n > 1")
+    first = stored(first, "firsts")
+    # a group with very many occurrences is dealt over tasks; both sides ask the same bitmap
+    hot = first.where(F.col("n") > HOT).select("id")
+    few, hit = maybe_in(occ, "id", hot)
+    few = few.select("id", "at", F.when(hit, F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
+    top, hit = maybe_in(first.select("id", "first"), "id", hot)
+    top = top.select("id", "first", F.explode(F.when(hit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    gone = few.join(top, ["id", "salt"]).where("at <> first").select("at._k1", "at._k2", "at.pos")
     return gone.groupBy("_k1", "_k2").agg(F.collect_set("pos").alias("gone"))
 
 
-def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with its columns, text cut down to the lines that stay, and _lines and _removed, their counts."""
-    lines = occurrences(docs)
+def cut(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(row, text, lines, removed) of each row of docs: its columns, its text cut down to the lines that stay, and counts of lines."""
+    packed = carrying(docs, "doc_id", "text")
+    lines = occurrences(packed)
     gone = stored(removed_lines(lines, similarity), "gone")
-    cols = docs.columns
-    keyed, test = maybe_in(docs.select("*", *row_key()), "_k1", gone.select(F.col("_k1").alias("id")))
+    keyed, test = maybe_in(packed.select("*", *row_key()), "_k1", gone.select(F.col("_k1").alias("id")))
     text = F.coalesce("text", F.lit(""))
-    count = F.size(F.split(text, "\n"))
-
-    def out(rows: DataFrame, new_text: Column, removed: Column) -> DataFrame:
-        return rows.select(
-            *[new_text.alias("text") if c == "text" else F.col(f"`{c}`") for c in cols], count.cast("long").alias("_lines"), removed.cast("long").alias("_removed")
-        )
-
-    same = out(keyed.where(~test), text, F.lit(0))
-    hit = keyed.where(test).drop("_part", "_map", "_at").join(gone, ["_k1", "_k2"], "left")
+    count = F.size(F.split(text, "\n")).cast("long").alias("lines")
+    same = keyed.where(~test).select("row", text.alias("text"), count, F.lit(0).cast("long").alias("removed"))
+    hit = keyed.where(test).select("row", "text", "_k1", "_k2").join(gone, ["_k1", "_k2"], "left")
     kept = let(
         F.split(text, "\n"),
         lambda x: F.array_join(
             F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)), "\n"
         ),
     )
-    changed = out(hit, F.when(F.col("gone").isNull(), text).otherwise(kept), F.coalesce(F.size("gone"), F.lit(0)))
-    return same.union(changed)
+    new = F.when(F.col("gone").isNull(), text).otherwise(kept)
+    return same.union(hit.select("row", new.alias("text"), count, F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed")))
+
+
+def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with its columns, text cut down to the lines that stay."""
+    return carried(cut(docs, similarity), docs, text=F.col("text"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    d = dedup(docs)
-    return d.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+    return cut(docs).select(
+        "row.doc_id", F.col("lines").alias("n_lines"), F.col("removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256")
+    )
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -277,7 +287,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A document that had no removable line at all stays as it is.
     """
-    d = dedup(docs).where(~((F.col("_removed") > 0) & (F.translate("text", PUNCTUATION + "\n ", "") == "")))
+    d = cut(docs).where(~((F.col("removed") > 0) & (F.translate("text", PUNCTUATION + "\n ", "") == "")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return d.select(docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return carried(d, docs, **new)

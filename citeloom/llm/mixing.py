@@ -18,10 +18,13 @@ table gives no rows; other columns are ignored by the query. The order depends o
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import WORD, pick, row_key, stored
+from citeloom.llm.common import WORD, carried, carrying, pick, row_key, stored
 
 LIMIT = 3
 WEIGHTS = (1, 2, 3)
@@ -84,50 +87,57 @@ def copies(queue: DataFrame) -> DataFrame:
     return each.withColumn("before", F.col("before") + (F.col("copy") - 1) * F.col("size"))
 
 
-def rounds(c: DataFrame) -> DataFrame:
-    """full: whole rounds of the source that the target holds; left: words of the round that is cut."""
-    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    return c.withColumn("full", full).withColumn("left", F.col("target") - F.col("full") * F.col("source_size"))
-
+def served(c: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """The schedule: (doc_id, source, _k1, _k2, copy, size, round, words, finish) of each turn of a document that the budget reaches.
 
-def taken(c: DataFrame) -> DataFrame:
-    part = F.floor(F.least(F.greatest(F.col("left") - F.col("before"), F.lit(0.0)), F.col("size")))
-    return rounds(c).withColumn("taken", (F.col("full") * F.col("size") + part).cast("long"))
+    A turn starts at its source's words so far (full rounds and what comes earlier in the shuffle) and takes the document's size;
+    finish is its end over the source's target, its virtual finish time. As targets sum to the budget, the total budget
+    is spent at time one: turns that start before it are served, the one in service there with the words left to it.
+    """
+    r = c.where("target > 0 and size > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(limit - 1))))
+    start = (F.col("round") * F.col("source_size") + F.col("before")).cast("double")
+    r = r.withColumn("start", start).withColumn("finish", (start + F.col("size")) / F.col("target"))
+    words = F.when(F.col("finish") <= 1, F.col("size")).otherwise(F.floor(F.least(F.col("size").cast("double"), F.col("target") - F.col("start"))))
+    return r.withColumn("words", words.cast("long")).where("words > 0").select("doc_id", "source", "_k1", "_k2", "copy", "size", "round", "words", "finish")
 
 
 def schedule(docs: DataFrame, weights: tuple = WEIGHTS, limit: int = LIMIT, share: float = 1.0) -> DataFrame:
-    """The mix itself: (doc_id, source, _k1, _k2, round, words, finish), range-sorted by virtual finish time.
-
-    words is what the budget leaves of the document in that round; rows after the cut are not there.
-    """
+    """The mix itself: (doc_id, source, _k1, _k2, copy, size, round, words, finish), globally range-sorted by virtual finish time."""
     unit = units(docs)
-    c = copies(queued(unit, targets(unit, weights, limit, share))).where("target > 0 and size > 0")
-    r = c.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(limit - 1))))
-    end = F.col("round") * F.col("source_size") + F.col("before") + F.col("size")
-    r = r.withColumn("finish", end / F.col("target"))
-    words = F.floor(F.least(F.col("size").cast("double"), F.col("target") - (end - F.col("size"))))
-    return r.withColumn("words", words).where("words > 0").select(
-        "doc_id", "source", "_k1", "_k2", "round", "words", "finish"
-    ).orderBy("finish", "source", "_k1", "_k2")
+    return served(copies(queued(unit, targets(unit, weights, limit, share))), limit).orderBy("finish", "source", "_k1", "_k2", "copy")
+
+
+def taken(c: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """c with taken, the words that the schedule serves of each document; 0 where it serves none. Sums need no order, so none is made."""
+    key = ["doc_id", "source", "_k1", "_k2", "copy"]
+    sums = served(c, limit).groupBy(*key).agg(F.sum("words").alias("taken"))
+    s = sums.toDF(*[f"s_{k}" for k in key], "taken")
+    same = [F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in key]
+    return c.join(s, reduce(and_, same), "left").withColumn("taken", F.coalesce("taken", F.lit(0))).drop(*[f"s_{k}" for k in key])
 
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, limit: int = LIMIT, share: float = 1.0) -> DataFrame:
-    """Rows of docs as often as the mix takes them, as whole documents with all columns.
+    """Rows of docs as often as the schedule serves them, as whole documents with all columns.
 
-    The document at the cut counts if at least half of it is before the cut. Equal rows share their takes
+    The document at the cut counts if at least half of it is served. Equal rows share their takes
     evenly (the mean, rounded). A document without words is taken as often as its source has full rounds, and once if none.
     """
     unit = units(docs)
-    q = rounds(copies(queued(unit, targets(unit, weights, limit, share))))
-    half = (F.col("left") - F.col("before") >= F.col("size") / 2.0) & (F.col("size") > 0)
-    times = F.when(F.col("size") == 0, F.greatest(F.col("full"), F.lit(1))).otherwise(F.col("full") + half.cast("long"))
-    t = q.groupBy("_k1", "_k2").agg(F.round(F.avg(times)).cast("int").alias("_times")).where("_times > 0")
-    # a source is part of the unit but not of the key: rows equal in id and text but not in source share the mean too
-    kept = docs.select("*", *row_key()).join(t, ["_k1", "_k2"])
-    return kept.withColumn("_round", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    c = stored(copies(queued(unit, targets(unit, weights, limit, share))), "queue")
+    turns = served(c, limit).where("2 * words >= size").groupBy("source", "_k1", "_k2").agg(F.count("*").alias("turns"))
+    empty = F.greatest(F.floor(F.col("target") / F.greatest("source_size", F.lit(1))), F.lit(1))
+    every = c.groupBy("source", "_k1", "_k2").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.max(empty).alias("empty"))
+    t = every.toDF("s0", "k1", "k2", "n", "size", "empty").join(
+        turns, F.col("s0").eqNullSafe(F.col("source")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left"
+    )
+    times = F.when(F.col("size") == 0, F.col("empty")).otherwise(F.round(F.coalesce("turns", F.lit(0)) / F.col("n"))).cast("int")
+    t = t.select("s0", "k1", "k2", times.alias("times")).where("times > 0")
+    packed = carrying(docs, "doc_id", "text", "source").select("row", "source", *row_key())
+    kept = packed.join(t, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & F.col("s0").eqNullSafe(F.col("source")))
+    return carried(kept.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))), docs)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = units(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    c = taken(copies(queued(unit, targets(unit))))
-    return c.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")
+    c = stored(copies(queued(unit, targets(unit))), "queue")
+    return taken(c).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")

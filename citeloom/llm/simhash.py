@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import batch_of, pick, row_key, stored, text_bytes
+from citeloom.llm.common import batch_of, carried, carrying, pick, row_key, stored, text_bytes
 from citeloom.llm.graph import components
 
 RADIUS = 3
@@ -208,9 +208,10 @@ def keep_one(docs: DataFrame, k: int = 3, radius: int = RADIUS) -> DataFrame:
     best = near.groupBy("root").agg(F.min(order).alias("b"), F.count("*").alias("n"))
     same = near.groupBy("_k1", "_k2").agg(F.count("*").alias("_same"))
     best = best.select("b._k1", "b._k2").join(same, ["_k1", "_k2"])
-    kept = docs.select("*", *row_key()).join(best, ["_k1", "_k2"])
-    once = kept.where("_same = 1").select(docs.columns)
-    return once.union(kept.where("_same > 1").dropDuplicates(["_k1", "_k2"]).select(docs.columns))
+    packed = carrying(docs, "doc_id", "text")
+    kept = packed.select("row", *row_key()).join(best, ["_k1", "_k2"])
+    once = kept.where("_same = 1").select("row", "_k1", "_k2")
+    return carried(once.union(kept.where("_same > 1").dropDuplicates(["_k1", "_k2"]).select("row", "_k1", "_k2")), docs)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
