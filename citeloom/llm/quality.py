@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.llm.common import carried, carrying
+
 SAMPLE_ROWS = 20_000
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -199,11 +201,11 @@ def learn(
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, precision: float = 0.97) -> list[Rule]:
-    """Learns from at most sample_rows labelled documents, the first by hash of doc_id."""
+    """Learns from at most sample_rows labels, the first by hash of doc_id, and as many different rows of statistics (repeated ids add no more)."""
     some = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("_id"), "quality")
     some = some.orderBy(F.xxhash64("_id"), "_id", "quality").limit(sample_rows)
     rows = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(some), "_id")  # at most sample_rows rows
-    rows = with_stats(rows).select("_id", "quality", *[F.col("_q")[f].cast("double").alias(f) for f in FEATURES])
+    rows = with_stats(rows).select("_id", "quality", *[F.col("_q")[f].cast("double").alias(f) for f in FEATURES]).dropDuplicates().orderBy("_id", "quality", *FEATURES).limit(sample_rows)
     got = rows.collect()
     got.sort(key=lambda r: tuple(r))
     if not got:
@@ -227,9 +229,9 @@ def rejects(rules: list[Rule], q: Column) -> Column:
 
 def keep(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that neither the base rule nor the learned list rejects, with their columns."""
-    q = F.col("_q")
     rules = fit(docs, labels, sample_rows)
-    return with_stats(docs).where(~base_failed(q) & ~rejects(rules, q)).select(docs.columns)
+    q = F.col("_q")
+    return carried(with_stats(carrying(docs, "text")).where(~base_failed(q) & ~rejects(rules, q)), docs)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

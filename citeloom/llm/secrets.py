@@ -3,13 +3,12 @@
 Base spans (assign, access, hex) are found over the whole text. The method adds weak candidates, parts that
 mean nothing alone: identifiers (``user=``, ``client_id:`` ...), opaque values (long mixed tokens) and endpoints
 (``scheme://host``, ``host:port``). A scope is a paragraph or key-value block (blank lines end it) and at most
-``REACH`` code points around a part. Parts and base spans of a scope are joined as intervals by a sweep in
-position order; a weak candidate is reported only when complementary parts co-occur: an identifier needs
+``REACH`` code points around a part. Parts and base spans of a scope are joined as intervals; a weak candidate is reported only when complementary parts co-occur: an identifier needs
 a secret (base or opaque value), an opaque value needs an identifier, an access key or an assignment and an endpoint,
 an endpoint needs both an identifier and a secret.
 
-The sweep looks only at the last and next part of each role, so a text of any length and any number of
-parts costs linear time; a document is one row and no shuffle takes place.
+A scope is asked for a part of a role by two binary searches over running ends, so nothing inside it is overlooked and
+a text of any length and any number of parts costs n log n; a document is one row and no shuffle takes place.
 
 Defined results: null and empty texts give zero counts, the hash of the empty string and an empty ``spans``;
 repeated rows stay repeated; an empty table gives no rows; other columns are ignored.
@@ -21,6 +20,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,16 +63,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _covered(spans: list[tuple[int, int, int]], start: int, end: int) -> bool:
-    i = bisect_left(spans, (end,))
-    return any(s < end and start < e for s, _, e in spans[max(0, i - 4) : i])
+class _Within:
+    """Spans of some roles by start, with running ends, so that any stretch is asked in logarithmic time."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        spans = sorted(spans)
+        self.starts = [s for s, _, _ in spans]
+        self.furthest = list(accumulate((e for *_, e in spans), max))  # of this span and all before
+        self.nearest = list(accumulate((e for *_, e in reversed(spans)), min))[::-1]  # of this span and all after
+
+    def meets(self, start: int, end: int) -> bool:
+        """Does any span overlap the stretch?"""
+        i = bisect_left(self.starts, end)
+        return i > 0 and self.furthest[i - 1] > start
+
+    def holds(self, low: int, high: int) -> bool:
+        """Does any span lie inside the stretch?"""
+        i = bisect_left(self.starts, low)
+        return i < len(self.starts) and self.nearest[i] <= high
 
 
 def weak_parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    found = []
+    found, known = [], _Within(base)
     if ":" in text or "=" in text:
         found += [(m.start(1), 3, m.end(1)) for m in IDENT.finditer(text)]
-    found += [(m.start(), 4, m.end()) for m in OPAQUE.finditer(text) if _mixed(m[0]) and not _covered(base, m.start(), m.end())]
+    found += [(m.start(), 4, m.end()) for m in OPAQUE.finditer(text) if _mixed(m[0]) and not known.meets(m.start(), m.end())]
     if ":" in text:
         found += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
     return sorted(found)
@@ -83,18 +98,14 @@ def linked(text: str, base: list, weak: list, reach: int = REACH) -> list[tuple[
     if not weak or len(weak) + len(base) < 2:
         return []
     cuts = [m.start() for m in _BLANK.finditer(text)]
-    roles = {k: [s for s in sorted(base + weak) if s[1] in k] for k in ((3, 1), (0, 2, 4), (0, 2), (5,))}
+    roles = {k: _Within([s for s in base + weak if s[1] in k]) for k in ((3, 1), (0, 2, 4), (0, 2), (5,))}
 
     def near(span, kinds) -> bool:
         start, _, end = span
         at = bisect_left(cuts, start)
         low = max(cuts[at - 1] if at else 0, start - reach)
         high = min(cuts[at] if at < len(cuts) else len(text), end + reach)
-        of = roles[kinds]
-        i = bisect_left(of, span)
-        before = of[i - 1] if i else None
-        after = next((x for x in of[i : i + 2] if x != span), None)
-        return bool((before and before[0] >= low) or (after and after[2] <= high))
+        return roles[kinds].holds(low, high)
 
     out = []
     for w in weak:

@@ -12,8 +12,7 @@ excluded by the bound, so the result is exact.
 Blocks keep any group bounded: a third of all vectors may be equal, they only fill more blocks. A query's
 answers are k rows per block pair at most, merged by a top-k aggregate.
 
-Defined results: vectors that are null, hold null or non-finite components, or whose scaled components reach
-2^24 (a score must fit in 64 bits) take no part; vectors meet only those of equal length; a query whose
+Defined results: vectors that are null or hold null or non-finite components take no part; a score beyond 64 bits becomes the nearest long; vectors meet only those of equal length; a query whose
 length no other vector has gives no rows; ties go to the smaller vec_id; rows that repeat a vec_id are
 vectors of their own, and a query among them is answered once for each such row (a null vec_id is
 never a query and is ranked last among ties). An empty table gives no rows; other columns are ignored.
@@ -33,20 +32,20 @@ BLOCK = 1024
 QUERY_BLOCK = 256
 SCALE = 256
 TOP = 5
+SLACK = 1e-9
 _FAR = (1 << 63) - 1
 
 
 def scaled(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(uid, vec_id, dim, x array<int>) of the vectors that take part; uid names the row."""
+    """(uid, vec_id, dim, x array<double>, whole numbers) of the vectors that take part; uid names the row."""
     rows = pick(vectors, vec_id="vec_id", e="embedding")
-    x = F.transform("e", lambda v: F.floor(F.lit(scale) * v.cast("double")))
-    good = F.forall(
-        "e",
-        lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float(1 << 24) / scale),
-    )
+    whole = lambda y: F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)  # noqa: E731  a double beyond 2^53 is whole
+    most = 1.7976931348623157e308
+    x = F.transform("e", lambda v: whole(F.greatest(F.least(F.lit(float(scale)) * v.cast("double"), F.lit(most)), F.lit(-most))))
+    good = F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
     rows = rows.where(F.col("e").isNotNull()).where(good)
     return rows.select(
-        F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long"), F.size("e").alias("dim"), x.cast("array<int>").alias("x")
+        F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long"), F.size("e").alias("dim"), x.alias("x")
     )
 
 
@@ -77,7 +76,27 @@ def keyed(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                 dist[at] = np.sqrt(gap.min(1))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(dist)], names=[*b.schema.names, "cell", "dist"])
 
-    return vectors.mapInArrow(run, "uid long, vec_id long, dim int, x array<int>, cell int, dist double")
+    return vectors.mapInArrow(run, "uid long, vec_id long, dim int, x array<double>, cell int, dist double")
+
+
+def _bytes(m: np.ndarray) -> bytes:
+    """Four bytes a component where they hold all of them, else eight."""
+    return (m.astype(np.int32) if not m.size or np.abs(m).max() < 2.0**31 else m).tobytes()
+
+
+def _of_bytes(raw: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, np.int32 if len(raw) == 4 * n * dim else np.float64).reshape(n, dim).astype(np.float64)
+
+
+def _scores(m: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of whole numbers; those beyond 64 bits become the nearest long."""
+    top = float(np.abs(m).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, m.shape[1])
+    if top < 2.0**53:
+        return np.rint(m @ x.T).astype(np.int64)
+    if top < 2.0**63:
+        return m.astype(np.int64) @ x.astype(np.int64).T
+    exact = np.vectorize(int, otypes=[object])
+    return np.clip(exact(m) @ exact(x).T, 1 - _FAR, _FAR).astype(np.int64)
 
 
 _BLOCKS = "block long, dim int, cell int, low double, high double, norm double, n int, uids binary, ids binary, x binary"
@@ -106,7 +125,7 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
                     dist = p["dist"].to_numpy()
                     out.append(
                         (base + count, int(dims[s]), int(cells[s]), dist[0], dist[-1], float((m * m).sum(1).max()), len(p),
-                         p["uid"].to_numpy().tobytes(), p["vec_id"].to_numpy().tobytes(), m.astype(np.int32).tobytes())
+                         p["uid"].to_numpy().tobytes(), p["vec_id"].to_numpy().tobytes(), _bytes(m))
                     )
                     count += 1
             types = [pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * 3, pa.int32(), *[pa.binary()] * 3]
@@ -132,8 +151,8 @@ def _ranges(queries: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     def run(batches):
         for b in batches:
             out = []
-            for qb, dim, x in zip(*(b.column(c).to_pylist() for c in ("block", "dim", "x")), strict=True):
-                m = np.frombuffer(x, np.int32).reshape(-1, dim).astype(np.float64) if dim else np.zeros((1, 0))
+            for qb, dim, n, x in zip(*(b.column(c).to_pylist() for c in ("block", "dim", "n", "x")), strict=True):
+                m = _of_bytes(x, n, dim) if dim else np.zeros((1, 0))
                 for i, p in enumerate(pivots.get(dim, np.zeros((1, dim)))):
                     r = np.sqrt(np.maximum(((m - p) ** 2).sum(1), 0))
                     out.append((qb, dim, i, float(r.min()), float(r.max())))
@@ -143,7 +162,7 @@ def _ranges(queries: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["qb", "dim", "cell", "near", "far"]
             )
 
-    return queries.select("block", "dim", "x").mapInArrow(run, "qb long, dim int, cell int, near double, far double")
+    return queries.select("block", "dim", "n", "x").mapInArrow(run, "qb long, dim int, cell int, near double, far double")
 
 
 def _search(pairs: DataFrame, index: DataFrame, queries: DataFrame, pivots: dict[int, np.ndarray], k: int) -> DataFrame:
@@ -174,24 +193,21 @@ def _search(pairs: DataFrame, index: DataFrame, queries: DataFrame, pivots: dict
                     now, dim = r["qb"], r["dim"]
                     quid = np.frombuffer(b.column("q_uids")[i].as_py(), np.int64)
                     qid = np.frombuffer(b.column("q_ids")[i].as_py(), np.int64)
-                    m = np.frombuffer(b.column("q_x")[i].as_py(), np.int32).reshape(len(quid), dim).astype(np.float64)
+                    m = _of_bytes(b.column("q_x")[i].as_py(), len(quid), dim)
                     p = pivots.get(dim, np.zeros((1, dim)))
                     gaps = np.sqrt(np.maximum((m * m).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * m @ p.T, 0))
                     none = np.zeros((len(quid), 0), np.int64)
                     state = (qid, quid, none, none, none, m, gaps)
                 qid, quid, ids, uids, score, m, gaps = state
                 away = np.maximum(np.maximum(gaps[:, r["cell"]] - r["high"], r["low"] - gaps[:, r["cell"]]), 0)
-                best = ((m * m).sum(1) + r["norm"] - away**2) / 2 + 1  # one more than rounding can take away
-                live = best >= (score[:, k - 1] if score.shape[1] >= k else -np.inf)
+                both_norms = (m * m).sum(1) + r["norm"]
+                best = (both_norms - away**2) / 2 + 1 + SLACK * both_norms  # more than rounding can take away
+                live = ~(best < (score[:, k - 1] if score.shape[1] >= k else -np.inf))  # not a number: no bound
                 if not live.any():
                     continue  # no annulus after this one need be opened for these queries either way
                 vuid = np.frombuffer(b.column("uids")[i].as_py(), np.int64)
                 vid = np.frombuffer(b.column("ids")[i].as_py(), np.int64)
-                x = np.frombuffer(b.column("x")[i].as_py(), np.int32).reshape(len(vuid), -1 if m.shape[1] else 0)
-                if m.shape[1] and max(np.abs(x).max(), np.abs(m).max()) ** 2 * m.shape[1] >= 2.0**53:
-                    new = m.astype(np.int64) @ x.astype(np.int64).T
-                else:
-                    new = np.rint(m @ x.astype(np.float64).T).astype(np.int64)
+                new = _scores(m, _of_bytes(b.column("x")[i].as_py(), len(vuid), m.shape[1]))
                 low = -_FAR
                 new[quid[:, None] == vuid[None]] = low
                 alls = np.concatenate([score, new], axis=1)
@@ -226,7 +242,8 @@ def search(
     q = queries.select(F.col("block").alias("qb"), F.col("norm").alias("q_norm"))
     away = F.greatest(F.col("near") - F.col("high"), F.col("low") - F.col("far"), F.lit(0.0))
     meta = index.select(F.col("block").alias("vb"), "dim", "cell", "low", "high", "norm", "n")
-    bound = (F.col("q_norm") + F.col("norm") - away * away) / 2 + 1
+    norms = F.col("q_norm") + F.col("norm")
+    bound = (norms - away * away) / 2 + 1 + norms * SLACK
     pairs = spans.join(q, "qb").join(meta, ["dim", "cell"]).select("qb", "vb", "n", bound.alias("bound"))
     pairs = stored(pairs, "pairs")
     order = Window.partitionBy("qb").orderBy(F.desc("bound"), "vb")

@@ -1,8 +1,8 @@
 """URL filter: host and path rules first, then a weighted vocabulary found with Aho-Corasick.
 
-The automaton finds every strict and soft term in host and path; a hit counts only between boundaries (the
-characters beside it are not letters or digits; a term that ends in ``*`` needs only the left one). One
-strict term rejects, or ``soft_limit`` different soft terms do. A rule (host part + path prefix) that fits
+The automaton finds every term of a table of weights in the url from its host to its end, query and fragment included; a hit counts only
+between boundaries (the characters beside it are not letters or digits; a term that ends in ``*`` needs only the left one). The weights
+of different terms found add up and block at ``limit``: one strict term weighs that much, several soft ones do. A rule (host part + path prefix) that fits
 decides before the vocabulary; of several the longest does.
 
 Defined results: null or a url without ``://`` has empty host and path, fits no rule and is allowed; an
@@ -28,6 +28,8 @@ SOFT = (
     "loans", "lottery", "nude", "pharmacy", "poker", "replica", "slots", "spam", "win", "ads", "track", "tracker", "click",
     "bets", "farm", "farms", "x",
 )
+#: Weights of different terms that block a url together.
+LIMIT = 2.0
 RULES = (
     ("org/", "allow"),
     ("example.org/es/", "block"),
@@ -61,46 +63,52 @@ def find_rule(host: str, path: str, rules: tuple) -> tuple[str, str] | None:
     return best
 
 
-def automaton(strict: tuple, soft: tuple) -> ahocorasick.Automaton:
+def vocabulary(strict: tuple = STRICT, soft: tuple = SOFT, limit: float = LIMIT) -> dict[str, float]:
+    """The weight of each term: a strict one reaches the limit alone, soft ones only together."""
+    return {t: 1.0 for t in soft} | {t: float(limit) for t in strict}
+
+
+def automaton(weights: dict[str, float]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for kind, terms in (("soft", soft), ("strict", strict)):
-        for t in terms:
-            a.add_word(t.rstrip("*"), (kind, t.rstrip("*"), t.endswith("*")))
+    for t, w in weights.items():
+        if t.rstrip("*"):
+            a.add_word(t.rstrip("*").lower(), (t.rstrip("*").lower(), w, t.endswith("*")))
     a.make_automaton()
     return a
 
 
-def hits(a: ahocorasick.Automaton, text: str) -> tuple[set, set]:
-    """Different strict and soft terms that stand between boundaries."""
-    found: dict[str, set] = {"strict": set(), "soft": set()}
-    for end, (kind, term, open_right) in a.iter(text):
+def hits(a: ahocorasick.Automaton, text: str) -> dict[str, float]:
+    """Different terms that stand between boundaries, with their weights."""
+    found: dict[str, float] = {}
+    if not len(a):
+        return found
+    for end, (term, weight, open_right) in a.iter(text):
         start = end - len(term) + 1
         left = start == 0 or not text[start - 1].isalnum()
         right = open_right or end + 1 == len(text) or not text[end + 1].isalnum()
         if left and right:
-            found[kind].add(term)
-    return found["strict"], found["soft"]
+            found[term] = weight
+    return found
+
 
+def judge(pages: DataFrame, weights: dict[str, float] | None = None, limit: float = LIMIT, rules: tuple = RULES) -> DataFrame:
+    """(page_id, host, path, rule, verdict, n_strict, n_soft) for each row of pages (page_id, url).
 
-def judge(
-    pages: DataFrame,
-    strict: tuple = STRICT,
-    soft: tuple = SOFT,
-    soft_limit: int = 2,
-    rules: tuple = RULES,
-) -> DataFrame:
-    """(page_id, host, path, rule, verdict, n_strict, n_soft) for each row of pages (page_id, url)."""
+    The method blocks a url whose different terms weigh ``limit`` or more together; terms of that weight alone count as strict.
+    """
+    weights = vocabulary(limit=limit) if weights is None else weights
 
     def run(batches):
-        a = automaton(strict, soft)
+        a = automaton(weights)
         for b in batches:
             out: list[tuple] = []
             for url in b.column(1).to_pylist():
                 host, path = split_url(url)
-                hard, weak = hits(a, f"{host}{path}".lower())
+                found = hits(a, url[url.index("://") + 3 :].lower()) if url and "://" in url else {}
+                strict = sum(w >= limit for w in found.values())
                 rule = find_rule(host, path, rules)
-                bad = bool(hard) or len(weak) >= soft_limit
-                out.append((host, path, rule and rule[0], rule[1] if rule else "block" if bad else "allow", len(hard), len(weak)))
+                bad = sum(found.values()) >= limit
+                out.append((host, path, rule and rule[0], rule[1] if rule else "block" if bad else "allow", strict, len(found) - strict))
             cols = list(zip(*out, strict=True)) or [[]] * 6
             types = [pa.string()] * 4 + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays(
