@@ -6,8 +6,10 @@ with one loaded bin; the two partitions with the largest spread are merged, the
 emptiest of the other, until one partition is left, whose bins are the sequences. If any bin exceeds the
 window, the window count rises by one and the differencing runs again.
 
-All of it happens in the task that tokenises, in bounded memory: a chunk never exceeds ``bins`` windows, no
-piece is shuffled, and no key, source or copy group can gather in one task. Sequence ids are the input
+Most of it happens in the task that tokenises, in bounded memory: a chunk never exceeds ``bins`` windows, and no key, source or copy
+group can gather in one task. A task's last chunk, whose windows would not be full, is left over: the leftovers of all tasks (seven
+numbers a piece, no text) are dealt by hash over as few tasks as hold ``DEAL`` windows each and are packed there in a second step, so
+that padding does not grow with the number of input partitions. Sequence ids are the step, the
 partition's number and a count in it, so a retried task gives the same ids.
 
 Defined results: a null or empty text is one piece with only the end id; repeated rows are packed as often as
@@ -28,11 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import pick
+from citeloom.llm.common import pick, stored
 
 WINDOW = 2048
 GRAIN = 512
 BINS = 128
+DEAL = 1024
 END_ID = 1
 VOCABULARY = "byte_bpe_50k"
 
@@ -127,49 +130,79 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
+class _Chunks:
+    """Pieces that wait for their chunk, and rows that are ready."""
+
+    def __init__(self, window: int, bins: int, base: int):
+        self.window, self.bins, self.base = window, bins, base
+        self.used = self.load = 0
+        self.waiting: list[tuple] = []
+        self.ready: list[tuple] = []
+
+    def whole(self, piece: tuple) -> None:
+        self.ready.append((*piece, self.base + self.used, 0))
+        self.used += 1
+
+    def add(self, piece: tuple) -> None:
+        if self.load + piece[2] > self.bins * self.window:
+            self.close()
+        self.waiting.append(piece)
+        self.load += piece[2]
+
+    def close(self) -> None:
+        for b in pack_chunk([w[2] for w in self.waiting], self.window) if self.waiting else []:
+            at = 0
+            for i in b:
+                self.ready.append((*self.waiting[i], self.base + self.used, at))
+                at += self.waiting[i][2]
+            self.used += 1
+        self.waiting, self.load = [], 0
+
+    def leave(self) -> None:
+        """What waits goes out without a sequence."""
+        self.ready += [(*w, None, None) for w in self.waiting]
+        self.waiting, self.load = [], 0
+
+    def rows(self) -> pa.RecordBatch:
+        columns = zip(*self.ready, strict=True) if self.ready else [[]] * 7
+        out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_NAMES)
+        self.ready = []
+        return out
+
+
 def packer(window: int, grain: int, bins: int, vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokeniser(vocabulary)
-        base = TaskContext.get().partitionId() << 40
-        used, load = 0, 0
-        waiting: list[tuple] = []
-        ready: list[tuple] = []
-
-        def flush():
-            nonlocal used, load
-            for b in pack_chunk([w[2] for w in waiting], window) if waiting else []:
-                at = 0
-                for i in b:
-                    ready.append((*waiting[i], base + used, at))
-                    at += waiting[i][2]
-                used += 1
-            waiting.clear()
-            load = 0
-
-        def rows():
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in (zip(*ready, strict=True) if ready else [[]] * 7)], names=_NAMES
-            )
-            ready.clear()
-            return out
-
+        chunks = _Chunks(window, bins, TaskContext.get().partitionId() << 36)
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
                 full, rest = cuts(len(ids), window, grain)
                 piece = [(doc_id, s, n, zlib.crc32(ids[s : s + n].tobytes()), len(ids)) for s, n in full + rest]
                 for p in piece[: len(full)]:
-                    ready.append((*p, base + used, 0))
-                    used += 1
+                    chunks.whole(p)
                 for p in piece[len(full) :]:
-                    if load + p[2] > bins * window:
-                        flush()
-                    waiting.append(p)
-                    load += p[2]
-                if len(ready) >= 20_000:
-                    yield rows()
-        flush()
-        yield rows()
+                    chunks.add(p)
+                if len(chunks.ready) >= 20_000:
+                    yield chunks.rows()
+        chunks.leave()
+        yield chunks.rows()
+
+    return run
+
+
+def repacker(window: int, bins: int):
+    """Packs pieces that are only numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = _Chunks(window, bins, (1 << 62) + (TaskContext.get().partitionId() << 36))
+        for b in batches:
+            for piece in zip(*(c.to_pylist() for c in b.columns[:5]), strict=True):
+                chunks.add(piece)
+            if len(chunks.ready) >= 20_000:
+                yield chunks.rows()
+        chunks.close()
+        yield chunks.rows()
 
     return run
 
@@ -186,7 +219,13 @@ def pack(
     if not 0 < grain <= window:
         raise ValueError("a grain must fit a window")
     rows = pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(packer(window, grain, bins, vocabulary, end_id), SCHEMA)
+    first = stored(rows.mapInArrow(packer(window, grain, bins, vocabulary, end_id), SCHEMA), "pieces")
+    left = first.where("sequence_id is null")
+    tokens = left.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, tokens // (DEAL * window))
+    # a piece's place in its document tells copies apart as little as its id does, so equal rows are numbered by what reads them
+    dealt = left.withColumn("turn", F.monotonically_increasing_id()).repartition(tasks, "turn").sortWithinPartitions("doc_id", "start", "ids_crc32", "turn")
+    return first.where("sequence_id is not null").union(dealt.drop("turn").mapInArrow(repacker(window, bins), SCHEMA))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

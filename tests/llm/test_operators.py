@@ -481,6 +481,38 @@ def test_packing(spark):
     assert max(seqs.values()) <= 2048 and sum(seqs.values()) / (2048 * len(seqs)) > 0.93
 
 
+def test_packing_over_many_partitions(spark):
+    """Padding does not grow with the partitions, and each id still lies in just one piece."""
+    rng = random.Random(19)
+    texts = [(i, prose(rng, rng.randrange(1, 300))) for i in range(150)]
+    rows = packing.pack(docs_of(spark, texts).repartition(24)).collect()
+    seqs: dict = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == seqs.get(r["sequence_id"], 0)
+        seqs[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(seqs.values()) <= 2048 and len(seqs) <= -(-sum(seqs.values()) // 2048) + 1
+    at = Counter()
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        assert r["start"] == at[r["doc_id"]]
+        at[r["doc_id"]] += r["length"]
+    assert all(at[r["doc_id"]] == r["doc_tokens"] for r in rows)
+    assert packing.pack(docs_of(spark, [])).count() == 0
+
+
+def test_rank_file_gives_the_ids_of_the_json():
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.tokeniser()
+    rng = random.Random(3)
+    kinds = [range(32, 127), range(0x300, 0x370), range(0xA0, 0x250), range(0x400, 0x500), range(0x4E00, 0x4F00), range(0x1F300, 0x1F700), range(0x660, 0x66A), range(0x2000, 0x2070), [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x200D, 0xFEFF, 0], range(0x1F1E6, 0x1F200)]
+    for _ in range(1500):
+        text = "".join(chr(rng.choice(rng.choice(kinds[: rng.randint(1, 10)]))) for _ in range(rng.randint(0, 60)))
+        text = rng.choice(["{}", "\r\n{}\r\n", "it's {}'ll  ", "  {}\n\n "]).format(text)
+        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_differencing_balances():
     bins = packing.differencing([8, 7, 6, 5, 4], 2)
     assert sorted(i for b in bins for i in b) == [0, 1, 2, 3, 4] and abs(sum([8, 7, 6, 5, 4][i] for i in bins[0]) - 15) <= 2
