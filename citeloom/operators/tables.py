@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the session names none (tests)."""
+    """The folder of spark.checkpoint.dir. Where none is named, a local master gets one of its own (tests); a cluster is refused."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
     own = getattr(spark.sparkContext, "_citeloom_tables", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="citeloom-")
@@ -29,6 +32,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_state(spark: SparkSession, path: str) -> tuple:
+    """(name, length, time of change) of a file or of the files of a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in found))
+
+
+def kept(spark: SparkSession, name: str, inputs: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
+    """A table of the index: built once a session and read again as long as its input files are the same."""
+    held = spark.sparkContext.__dict__.setdefault("_citeloom_kept", {})
+    key = (name, tuple((path, file_state(spark, path)) for path in inputs))
+    if key not in held:
+        made = stored(build(), name)
+        held[key] = (made.schema, made.inputFiles())
+    schema, files = held[key]
+    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+
+
 def key_problems(table: DataFrame, key: str = "key", values: tuple[str, ...] = ()) -> DataFrame:
     """(key, problem): empty or repeated keys and control characters; must be empty before a table is written."""
     bad = F.when(F.coalesce(F.col(key), F.lit("")) == "", "empty_key").when(F.col(key).rlike(r"[\t\n\r]"), "control_character")

@@ -1,4 +1,4 @@
-"""The synthetic statute book: instruments from orders, provisions from their lines.
+"""The synthetic statute book: instruments from orders, provisions from their lines; its tables are an index that is built once and kept.
 
 Every function gives a DataFrame; ``SQL`` holds the same book as common table expressions for the oracle.
 """
@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as T
+from citeloom.operators.tables import kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _kept(spark: SparkSession, sf_dir: str, build) -> DataFrame:
+    inputs = tuple(f"{sf_dir}/{t}.parquet" for t in ("orders", "lineitem", "part"))
+    return kept(spark, build.__name__.strip("_"), inputs, lambda: build(spark, sf_dir))
+
+
 def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(order, name): the least part name of each order that has lines."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
@@ -23,6 +29,10 @@ def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir, _instruments)
+
+
+def _instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(okey, coordinate, instrument_id, title, year, number, series, structure, status, customer, enacted)."""
     o = table(spark, sf_dir, "orders")
     year = F.year("o_orderdate")
@@ -44,6 +54,10 @@ def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir, _provisions)
+
+
+def _provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(okey, line, coordinate, seq, copies): one row a line; copies counts rows with the same coordinate."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     o = instruments(spark, sf_dir).select("okey", F.col("coordinate").alias("instrument"))
@@ -54,6 +68,10 @@ def provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir, _title_table)
+
+
+def _title_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, instrument_id): every lookup key of every titled instrument."""
     book = instruments(spark, sf_dir).where("title is not null").select("instrument_id", "title")
     return book.select(F.explode(T.title_variants(F.col("title"))).alias("key"), "instrument_id")
