@@ -8,7 +8,9 @@ two neighbours among the eight least hashes of its runs of three words; lines of
 characters, and lines below ten characters themselves and all they are with one character left out. Blocks of a SimHash,
 with which the method was named, do not serve as keys: lines of edit similarity 0.8 differ in up to 22 of 64 bits, and blocks forgive
 three. The SimHash of all words instead thins the candidates: more than ``RADIUS`` different bits end a pair before
-its edit distance is computed (where both lines have ``FEW`` words or more; of few words a fingerprint says little).
+its edit distance is computed, where both lines have ``FEW`` words or more. Of few words a fingerprint says little; there a
+bitmap of the line's character trigrams does it without any loss: an edit takes away three trigrams at most, so k edits leave at most 3 k bits
+of one line unset in the other.
 
 In a bucket every node is compared with one of its nodes; the
 components of these links are found, and then only members of different components of a bucket are compared, so a bucket of
@@ -39,7 +41,8 @@ PUNCTUATION = "\t\x0b\x0c\r.,;:!?\"'()[]{}|*#$%&<>-_/\\=+~^`@"
 LEAST, WORDS, FEW, TINY = 8, 5, 13, 10
 #: Words of a run, characters of a run, and bits in which the fingerprints of a candidate pair may differ.
 RUN, GRAM, RADIUS = 3, 6, 20
-LANE = 31
+#: Bits of a sum, and longs of a bitmap of trigrams.
+LANE, MAPS = 31, 8
 MAX_BITS = 27
 #: Occurrences of a group from which on its rows are dealt over SALTS tasks.
 HOT, SALTS = 2_000, 64
@@ -84,12 +87,14 @@ def anchors(lines: DataFrame) -> DataFrame:
 
 
 def fingerprints(norms: DataFrame) -> DataFrame:
-    """(id, size, words, fp) of each distinct line: its code points, its words, and 62 bits, each set if set in more than half of the words' hashes.
+    """(id, size, words, fp, g) of each distinct line: its code points, its words, and 62 bits, each set if set in more than half of the words' hashes.
 
-    Bits are summed two to a long, which stays in generated code and holds for lines of any length.
+    Bits are summed two to a long, which stays in generated code and holds for lines of any length. g are the longs of
+    the bitmap of trigrams of a line of few words; null for others.
     """
     ones = 1 | (1 << LANE)
-    words = norms.select("id", F.length("norm").alias("size"), F.explode(F.split("norm", " ")).alias("w")).select("id", "size", F.xxhash64("w").alias("h"))
+    split = norms.select("id", F.length("norm").alias("size"), F.split("norm", " ").alias("part"))
+    words = split.select("id", "size", F.explode("part").alias("w")).select("id", "size", F.xxhash64("w").alias("h"))
     sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(ones))).alias(f"s{j}") for j in range(LANE)]
     per = words.groupBy("id", "size").agg(F.count("*").alias("n"), *sums)
     low = (1 << LANE) - 1
@@ -98,7 +103,14 @@ def fingerprints(norms: DataFrame) -> DataFrame:
         for lane in (0, 1):
             of = F.shiftright(f"s{j}", LANE * lane).bitwiseAND(F.lit(low)) if lane == 0 else F.shiftrightunsigned(f"s{j}", LANE)
             fp = fp.bitwiseOR(F.when(of * 2 > F.col("n"), F.lit(1 << (j + LANE * lane))).otherwise(F.lit(0).cast("long")))
-    return per.select("id", "size", F.col("n").alias("words"), fp.alias("fp"))
+    few = split.where(F.size("part") < FEW).select("id", F.split(F.array_join("part", " "), "").alias("c"))
+    few = few.where(F.size("c") >= 3).select("id", "c", F.posexplode("c").alias("i", "first")).where(F.col("i") <= F.size("c") - 3)
+    few = few.select("id", F.xxhash64("first", F.get("c", F.col("i") + 1), F.get("c", F.col("i") + 2)).alias("h"))
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    maps = [F.bit_or(F.when(F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(MAPS - 1)) == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"g{j}") for j in range(MAPS)]
+    grams = few.groupBy("id").agg(*maps).select(F.col("id").alias("few"), F.array(*[f"g{j}" for j in range(MAPS)]).alias("g"))
+    own = per.select("id", "size", F.col("n").alias("words"), fp.alias("fp"))
+    return own.join(grams, F.col("id") == F.col("few"), "left").drop("few")
 
 
 def _bitmap(ids: DataFrame) -> tuple[DataFrame, int]:
@@ -202,7 +214,10 @@ def _promising(one: str, other: str, similarity: float) -> Column:
     """Lengths and fingerprints that do not speak against a pair."""
     apart = F.bit_count(F.col(f"{one}.fp").bitwiseXOR(F.col(f"{other}.fp"))) > RADIUS
     few = F.least(F.col(f"{one}.words"), F.col(f"{other}.words")) < FEW
-    return _near(f"{one}.size", f"{other}.size", similarity) & (few | ~apart)
+    most = 3 * F.floor(F.greatest(F.col(f"{one}.size"), F.col(f"{other}.size")) * F.lit(1 - similarity) + F.lit(1e-9))
+    lost = lambda x, y: sum(F.bit_count(F.get(f"{x}.g", F.lit(j)).bitwiseAND(F.bitwise_not(F.get(f"{y}.g", F.lit(j))))) for j in range(MAPS))
+    unlike = F.coalesce(F.greatest(lost(one, other), lost(other, one)) > most, F.lit(False))  # null: no bitmap
+    return _near(f"{one}.size", f"{other}.size", similarity) & F.when(few, ~unlike).otherwise(~apart)
 
 
 def links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -212,7 +227,7 @@ def links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     thin, test = maybe_in(lines.select("id", "norm"), "id", ids)
     norms = stored(thin.where(test).select("id", "norm").join(ids, "id").dropDuplicates(["id"]), "norms")
     f = stored(fingerprints(norms), "line-fps")
-    light = f.select("id", F.struct("size", "words", "fp").alias("x"))
+    light = f.select("id", F.struct("size", "words", "fp", "g").alias("x"))
     pair = [F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")]
     with_rep = b.where("id <> rep").select(F.col("rep").alias("id1"), F.col("id").alias("id2")).distinct()
     with_rep = with_rep.join(light.toDF("id1", "x1"), "id1").join(light.toDF("id2", "x2"), "id2").where(_promising("x1", "x2", similarity))
