@@ -234,12 +234,15 @@ def links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     first = _similar(with_rep.select(*pair).distinct(), norms, similarity)
     # what is connected by now needs no more links: only members of different components of a bucket meet
     comp = stored(components(first), "parts")
-    placed = b.select("key", "id").join(comp, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    placed = b.join(comp, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"), (F.col("id") == F.col("rep")).alias("is_rep"))
     placed = stored(placed, "placed")
-    loose = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key")
-    open_ = stored(placed.join(loose, "key").join(light, "id").select("key", "id", "root", "x"), "open")
-    one, two = open_.toDF("key", "id1", "root1", "x1"), open_.toDF("key", "id2", "root2", "x2")
-    more = one.join(two, "key").where((F.col("id1") < F.col("id2")) & (F.col("root1") != F.col("root2")) & _promising("x1", "x2", similarity))
+    main = F.max(F.when(F.col("is_rep"), F.col("root"))).alias("main")
+    loose = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), main).where("lo <> hi and n > 2").select("key", "main")
+    open_ = stored(placed.join(loose, "key").join(light, "id").select("key", "id", "root", (F.col("root") == F.col("main")).alias("in_main"), "x"), "open")
+    # of two components one at least is not the rep's, which is where most of a dense bucket is
+    one, two = open_.where("not in_main").toDF("key", "id1", "root1", "m1", "x1"), open_.toDF("key", "id2", "root2", "m2", "x2")
+    once = F.col("m2") | (F.col("id1") < F.col("id2"))
+    more = one.join(two, "key").where(once & (F.col("root1") != F.col("root2")) & _promising("x1", "x2", similarity))
     second = _similar(stored(more.select(*pair).distinct(), "pairs"), norms, similarity)
     dropped(b, ids, norms, f, placed, open_)
     return first.union(second)
