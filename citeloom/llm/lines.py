@@ -168,7 +168,7 @@ def _within(a: Column, b: Column, most: Column) -> Column:
             p, q = F.get(w["a"], s["i"]), F.get(w["b"], s["j"])
             drop, add = F.get(w["a"], s["i"] + 1) == q, p == F.get(w["b"], s["j"] + 1)
             return (
-                F.when(p == q, state(s["i"] + 1, s["j"] + 1, s["cost"])).when(s["cost"] > w["most"], s).when(p.isNull() & q.isNull(), s)
+                F.when(s["cost"] > w["most"], s).when(p == q, state(s["i"] + 1, s["j"] + 1, s["cost"])).when(p.isNull() & q.isNull(), s)
                 .when(q.isNull() | drop, state(s["i"] + 1, s["j"], s["cost"] + long(p)))
                 .when(p.isNull() | add, state(s["i"], s["j"] + 1, s["cost"] + long(q)))
                 .otherwise(state(s["i"] + 1, s["j"] + 1, s["cost"] + F.levenshtein(p, q)))
@@ -178,7 +178,8 @@ def _within(a: Column, b: Column, most: Column) -> Column:
         return F.aggregate(steps, state(F.lit(0), F.lit(0), F.lit(0)), step, lambda s: s["cost"]) <= w["most"]
 
     def decide(x: Column) -> Column:
-        return let(bound(F.split(x["a"], " "), F.split(x["b"], " "), x["most"]), script) | (F.call_function("levenshtein", x["a"], x["b"], x["most"]) >= 0)
+        short = F.greatest(F.length(x["a"]), F.length(x["b"])) <= x["most"]  # exchanging all of the middle is cheap enough
+        return short | let(bound(F.split(x["a"], " "), F.split(x["b"], " "), x["most"]), script) | (F.call_function("levenshtein", x["a"], x["b"], x["most"]) >= 0)
 
     def tail(x: Column) -> Column:
         return let(_shared(x["a"], x["b"], True), lambda n: let(bound(until(x["a"], n), until(x["b"], n), x["most"]), decide))
@@ -204,7 +205,7 @@ def _similar(pairs: DataFrame, norms: DataFrame, similarity: float) -> DataFrame
     """The pairs (a, b) of nodes whose norms are similar enough."""
     left, right = norms.toDF("a", "na"), norms.toDF("b", "nb")
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = pairs.repartition(parts, "a", "b").join(left, "a").join(right, "b")  # small in bytes, not in work: not to be coalesced
+    both = pairs.join(left, "a").join(right, "b").repartition(parts, "a", "b")  # small in bytes, not in work: neither coalesced nor led by a node of many pairs
     longest = F.greatest(F.length("na"), F.length("nb"))
     most = F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
     return stored(both.where(_within(F.col("na"), F.col("nb"), most)).select("a", "b"), "links")
