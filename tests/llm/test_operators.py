@@ -196,6 +196,21 @@ def test_short_lines_meet_only_where_pairs_of_characters_allow_it(spark):
     assert len(got - alike) <= 0.1 * others
 
 
+def test_pairs_of_lines_are_compared_in_turns(spark, monkeypatch):
+    """No step brings together the texts of many more pairs than a turn has, and the links are those of a single turn."""
+    rng = random.Random(4)
+    names = [prose(rng, 9) for _ in range(40)]
+    norms = lines.stored(spark.createDataFrame(list(enumerate(names + [n + "x" for n in names])), "id long, norm string"), "norms")
+    pairs = lines.stored(norms.select(F.col("id").alias("a")).crossJoin(norms.select(F.col("id").alias("b"))).where("a < b"), "pairs")
+    whole = Counter(map(tuple, lines._similar(pairs, norms, 0.8).collect()))
+    sizes, one = [], lines._similar_of
+    monkeypatch.setattr(lines, "AT_LEAST", 800)
+    monkeypatch.setattr(lines, "AT_ONCE", 1)
+    monkeypatch.setattr(lines, "_similar_of", lambda p, *rest: sizes.append(p.count()) or one(p, *rest))
+    assert Counter(map(tuple, lines._similar(pairs, norms, 0.8).collect())) == whole and len(whole) >= 40
+    assert sum(sizes) == pairs.count() == 3160 and len(sizes) == 4 and max(sizes) <= 1000
+
+
 def test_line_simhash_of_long_lines(spark):
     import xxhash
 
