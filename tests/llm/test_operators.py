@@ -211,6 +211,34 @@ def test_pairs_of_lines_are_compared_in_turns(spark, monkeypatch):
     assert sum(sizes) == pairs.count() == 3160 and len(sizes) == 4 and max(sizes) <= 1000
 
 
+def test_lines_that_share_a_passage_leave_few_pairs(spark, monkeypatch):
+    """Of lines that share a passage and differ elsewhere few pairs become rows in any number of blocks, and the links are those of all pairs."""
+    rng = random.Random(17)
+    parts = "th an er in on tion that and the re ed ing st en ou ha".split()
+    text = lambda n: " ".join("".join(rng.choice(parts) for _ in range(rng.choice([1, 2, 2, 3]))) for _ in range(n))
+    passage, names = text(40), []
+    for _ in range(40):
+        names.append(f"{text(rng.randrange(32, 37))} {passage}")
+    names += [n.replace("th", "ht", 3) for n in names[:10]] + ["ab", "abc", passage, passage + " " + text(4)]
+    norms = lines.stored(spark.createDataFrame(list(enumerate(names)), "id long, norm string"), "norms")
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    alike = {(i, j) for i, j in pairs if _similar(names[i], names[j])}
+    x = norms.toDF("a", "na").crossJoin(norms.toDF("b", "nb")).where("a < b")
+    allowed = x.where(lines._ends_allow(F.col("na"), F.col("nb"), lines._most(F.length("na"), F.length("nb"), 0.8)))
+    got = {(r["a"], r["b"]) for r in allowed.select("a", "b").collect()}
+    assert alike <= got and len(alike) >= 10 and len(got - alike) <= 0.2 * (len(pairs) - len(alike))
+    light = lines.fingerprints(norms).select("id", F.struct("size", "words", "fp", "g").alias("x"))
+    # two buckets with the same members: a pair comes once, whichever of them it meets in
+    open_ = norms.select(F.explode(F.array(F.lit(5).cast("long"), F.lit(-7).cast("long"))).alias("key"), "id", F.col("id").alias("root"), (F.col("id") == 3).alias("in_main"))
+    open_ = lines.stored(open_, "open")
+    want = {(r["a"], r["b"]) for r in allowed.select("a", "b").join(light.toDF("a", "x1"), "a").join(light.toDF("b", "x2"), "b").where(lines._promising("x1", "x2", 0.8)).collect()}
+    for block, carried in ((128, 2000), (7, 2000), (7, 0)):
+        monkeypatch.setattr(lines, "BLOCK", block)
+        monkeypatch.setattr(lines, "CARRIED", carried)
+        met = [tuple(sorted(r)) for r in lines._apart_in_buckets(open_, light, norms, 0.8).collect()]
+        assert len(met) == len(set(met)) and (set(met) == want if carried else set(met) >= want)
+
+
 def test_line_simhash_of_long_lines(spark):
     import xxhash
 
