@@ -1,6 +1,9 @@
 """What only larger tables show: numbers beyond six digits, texts that fill a task."""
 
+import pyarrow as pa
+
 from citeloom.functions import coords as C
+from citeloom.functions import text as T
 from citeloom.functions import uris as U
 
 
@@ -9,3 +12,22 @@ def test_numbers_of_a_large_book(spark):
     rows = spark.createDataFrame([(c,) for c in want], "c string")
     assert {r["c"]: r["ok"] for r in rows.select("c", C.parse(rows.c).isNotNull().alias("ok")).collect()} == want
     assert {c: U.valid(c) for c in want} == want
+
+
+def test_folding_of_whole_texts(spark):
+    """Pieces of a batch come back in order, a text longer than a piece, nulls and empty ones included."""
+    texts = ["Straße – № 1", None, "", "x" * T.FOLDED_AT_ONCE, "áB", "q" * 700_000, "r" * 700_000, "ﬁn"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    got = {r["id"]: (r["folded"], r["origin"]) for r in T.fold_rows(rows, "text").collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == ((None, None) if t is None else T.fold_string(t))
+
+
+def test_folding_holds_few_characters_at_once(monkeypatch):
+    """A batch of many texts is folded in pieces."""
+    sizes = []
+    real = T._folded_all
+    monkeypatch.setattr(T, "_folded_all", lambda texts: sizes.append(sum(map(len, texts))) or real(texts))
+    batch = pa.RecordBatch.from_pydict({"id": list(range(50)), "text": ["y" * 100_000] * 50})
+    pieces = list(T.fold_batches("text", ["id"])([batch]))
+    assert max(sizes) <= T.FOLDED_AT_ONCE + 100_000 and sum(p.num_rows for p in pieces) == 50
