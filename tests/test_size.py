@@ -5,6 +5,8 @@ import pyarrow as pa
 from citeloom.functions import coords as C
 from citeloom.functions import text as T
 from citeloom.functions import uris as U
+from citeloom.operators import discovery as D
+from citeloom.plans import discovery_queries as Q
 
 
 def test_numbers_of_a_large_book(spark):
@@ -31,3 +33,23 @@ def test_folding_holds_few_characters_at_once(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"id": list(range(50)), "text": ["y" * 100_000] * 50})
     pieces = list(T.fold_batches("text", ["id"])([batch]))
     assert max(sizes) <= T.FOLDED_AT_ONCE + 100_000 and sum(p.num_rows for p in pieces) == 50
+
+
+def test_postings_of_asked_terms_only(spark):
+    """The queries' terms are picked before counting, and each different word is stemmed once."""
+    rows = [(1, ["claims", "claim", "other"], ["claiming"]), (2, ["other"], []), (3, ["claim"] * 70, None)]
+    fields = spark.createDataFrame(rows, "doc_id long, heading array<string>, body array<string>")
+    fields = fields.selectExpr("doc_id", "heading", "array() crossheading", "array() structure", "array() title", "body")
+    only = spark.createDataFrame([("claim",), ("claim",), ("none",)], "term string")
+    got = D.postings(fields, only, T.stem).select("term", "doc_id", "heading", "body").collect()
+    assert sorted(map(tuple, got)) == [("claim", 1, 2, 1), ("claim", 3, 63, 0)]
+
+
+def test_gold_of_short_passages(spark, tmp_path):
+    """Passages of any number of words find their documents."""
+    docs = [(1, "a bc\nd e f"), (2, "xbc\nd ey"), (3, "nothing"), (4, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    asked = [(1, "bc\nd e"), (2, "c\nd"), (3, "f"), (4, "a bc\nd e f"), (5, None)]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted(map(tuple, Q.gold_docs(spark, str(tmp_path)).collect()))
+    assert got == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (4, 1)]
