@@ -6,6 +6,7 @@ from citeloom.functions import coords as C
 from citeloom.functions import text as T
 from citeloom.functions import uris as U
 from citeloom.operators import discovery as D
+from citeloom.operators import routing
 from citeloom.plans import discovery_queries as Q
 
 
@@ -53,3 +54,36 @@ def test_gold_of_short_passages(spark, tmp_path):
     spark.createDataFrame(asked, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = sorted(map(tuple, Q.gold_docs(spark, str(tmp_path)).collect()))
     assert got == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (4, 1)]
+
+
+def test_titles_with_many_bearers(spark):
+    """Keys as an array give what keys as rows give: each provision meets its title once; a fit of two sets of keys names none."""
+    sets = [("a", ["k", "k|1"]), ("b", ["k", "k|2"]), ("c", ["k", "k|2"]), ("d", ["z"])]
+    sets = spark.createDataFrame(sets, "instrument_id string, keys array<string>")
+    held = [("a", "s1", "a/s1", 1), ("b", "s2", "b/s2", 1), ("c", "s2", "c/s2", 1), ("a", "s3", "a/s3", 2), ("b", "s4", "b/s4", 1), ("a", "s4", "a/s4", 1), ("c", "s5", "c/s5", 1), ("c", "s3", "c/s3", 1)]
+    held = spark.createDataFrame(held, "instrument_id string, tail string, coordinate string, copies int")
+    cited = spark.createDataFrame([(k, f"s{i}") for k in ("k", "k|1", "k|2", "z", "none") for i in range(1, 7)], "key string, tail string")
+    rows = sets.selectExpr("explode(keys) key", "instrument_id")
+    got = sorted(map(tuple, routing.exact_titles(cited, sets, held).collect()), key=str)
+    assert got == sorted(map(tuple, routing.exact_titles(cited, rows, held).collect()), key=str)
+    told = {(r[0], r[1]): r[3] for r in got if r[3]}
+    assert told == {("k", "s1"): "a/s1", ("k|1", "s1"): "a/s1", ("k|1", "s4"): "a/s4", ("k|2", "s4"): "b/s4", ("k", "s5"): "c/s5", ("k|2", "s5"): "c/s5", ("k", "s3"): "c/s3", ("k|2", "s3"): "c/s3"}
+
+
+def test_first_bearers(spark):
+    """Only the first few of equal title and year can be offered."""
+    titles = spark.createDataFrame([(f"i{n}", t, y) for n in range(9) for t, y in (("x act", 1), ("x act", 2))], "instrument_id string, title string, year int")
+    got = sorted(map(tuple, routing.first_bearers(titles, 2).collect()))
+    assert got == [("i0", "x act", 1), ("i0", "x act", 2), ("i1", "x act", 1), ("i1", "x act", 2)]
+
+
+def test_title_keys_are_made_once(spark):
+    """Instruments of one title share its folded keys, former titles too."""
+    book = [("uk/ukpga/1996/1", "Théft Act 1996", 1996, "1", ["Old Thing Act 1990"]), ("uk/ukpga/1996/2", "Théft Act 1996", 1996, "2", None), ("uk/ukpga/1996/3", None, 1996, "3", None)]
+    book = spark.createDataFrame(book, "coordinate string, title string, year int, number string, former array<string>")
+    assert routing._title_keys(spark.createDataFrame([("Théft Act 1996",)], "t string")).count() == 1
+    facts = routing.facts_table(book, spark.createDataFrame([("uk/ukpga/1996/1/s1",)], "coordinate string"))
+    got = {(r["kind"], r["key"]): r["values"] for r in facts.collect()}
+    both = ["uk_ukpga_1996_1", "uk_ukpga_1996_2"]
+    assert got["title", "theft act|1996"] == both and got["title", "old thing act|1990"] == both[:1]
+    assert got["word", "theft"] == ["2", *both] and ("wordset", "act theft|1996") not in got and got["top", "uk/ukpga/1996/1/s/1"] == ["uk/ukpga/1996/1/s1"]
