@@ -144,10 +144,25 @@ def nearest_around(rows: DataFrame, key: str, order: list[str], value: Column) -
     )
 
 
+#: Rows that one task brings together; more input makes more tasks, not larger ones.
+AT_ONCE = 1_000_000
+
+
 def divided(pairs: DataFrame, wanted: DataFrame, left: list[str], right: str) -> DataFrame:
-    """Relational division: the left keys of pairs (left, right) that have every right value of wanted (query, right)."""
-    need = wanted.groupBy("query").agg(F.countDistinct(right).alias("need"))
-    have = pairs.join(wanted, right).groupBy("query", *left).agg(F.countDistinct(right).alias("have"))
+    """Relational division: the left keys of pairs (left, right) that have every right value of wanted (query, right).
+
+    A query's values are bits of longs, so repeats cost nothing and nothing is made distinct; pairs are dealt by their left keys over as many tasks as they need.
+    """
+    order = Window.partitionBy("query").orderBy(right)
+    bits = wanted.where(F.col(right).isNotNull()).select("query", right).distinct().withColumn("n", F.row_number().over(order) - 1)
+    need = bits.groupBy("query").agg(F.count("*").alias("need"))
+    longs = (bits.agg(F.max("n")).first()[0] or 0) // 63 + 1
+    parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs.count() / AT_ONCE))
+    rows = pairs.join(bits, right).select("query", *left, "n").repartition(parts, *left)
+    bit = F.expr("shiftleft(1L, n % 63)")
+    masks = [F.bit_or(F.when(F.floor(F.col("n") / 63) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"_m{i}") for i in range(longs)]
+    have = rows.groupBy("query", *left).agg(*masks)
+    have = have.withColumn("have", sum((F.bit_count(f"_m{i}") for i in range(longs)), F.lit(0)))
     return have.join(need, "query").where("have = need").select("query", *left)
 
 

@@ -6,6 +6,7 @@ from citeloom.functions import coords as C
 from citeloom.functions import text as T
 from citeloom.functions import uris as U
 from citeloom.operators import discovery as D
+from citeloom.operators import evaluation as V
 from citeloom.operators import routing
 from citeloom.plans import discovery_queries as Q
 
@@ -87,3 +88,13 @@ def test_title_keys_are_made_once(spark):
     both = ["uk_ukpga_1996_1", "uk_ukpga_1996_2"]
     assert got["title", "theft act|1996"] == both and got["title", "old thing act|1990"] == both[:1]
     assert got["word", "theft"] == ["2", *both] and ("wordset", "act theft|1996") not in got and got["top", "uk/ukpga/1996/1/s/1"] == ["uk/ukpga/1996/1/s1"]
+
+
+def test_division_by_many_values(spark, monkeypatch):
+    """More values than a long has bits, repeats and nulls; rows are dealt over as many tasks as they need."""
+    monkeypatch.setattr(V, "AT_ONCE", 20)
+    wanted = spark.createDataFrame([("q", i) for i in range(130)] + [("q", 3), ("one", 7), ("one", None), ("none", None)], "query string, v int")
+    rows = [("all", i) for i in range(130)] * 2 + [("less", i) for i in range(129)] + [("less", 5), ("less", None)]
+    got = V.divided(spark.createDataFrame(rows, "k string, v int"), wanted, ["k"], "v")
+    assert sorted(map(tuple, got.collect())) == [("one", "all"), ("one", "less"), ("q", "all")]
+    assert got.rdd.getNumPartitions() > 4
