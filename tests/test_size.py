@@ -98,3 +98,13 @@ def test_division_by_many_values(spark, monkeypatch):
     got = V.divided(spark.createDataFrame(rows, "k string, v int"), wanted, ["k"], "v")
     assert sorted(map(tuple, got.collect())) == [("one", "all"), ("one", "less"), ("q", "all")]
     assert got.rdd.getNumPartitions() > 4
+
+
+def test_all_postings_are_dealt_by_document(spark, monkeypatch):
+    """Tasks that count every posting get a bounded number of documents; a repeated id is one document."""
+    monkeypatch.setattr(D, "DOCS_AT_ONCE", 10)
+    none = ("array() crossheading", "array() structure", "array() title", "array('b') body")
+    fields = spark.range(95).selectExpr("id doc_id", "array('a', 'a') heading", *none).union(spark.range(1).selectExpr("id doc_id", "array('a') heading", *none))
+    post = D.postings(fields)
+    assert post.where("term = 'a' and doc_id = 0").first()["heading"] == 3
+    assert post.count() == 190 and post.rdd.getNumPartitions() == 10
